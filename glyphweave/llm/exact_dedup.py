@@ -25,6 +25,9 @@ FAN_IN = 16
 BUCKETS = 4096
 
 RUN_SCHEMA = "bucket int, run int, digest binary, n_bytes long, mark long, best long, best_seq long, copies long"
+ARROW_SCHEMA = pa.schema(
+    [("bucket", pa.int32()), ("run", pa.int32()), ("digest", pa.binary()), *[(n, pa.int64()) for n in ("n_bytes", "mark", "best", "best_seq", "copies")]]
+)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +39,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch])
+        rows = pa.Table.from_batches([batch]).cast(ARROW_SCHEMA)
         if held is not None:
             rows = pa.concat_tables([held, rows])
         n = rows.num_rows
