@@ -9,6 +9,8 @@ from .main_text import op6_main_text
 from .packing import op4_packing
 from .pii import op1_private
 from .simhash import op9_simhash
+from .sampling import op5_sampling
+from .substring_dedup import op10_substrings
 from .warc_store import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -20,6 +22,8 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_substrings": op10_substrings,
+    "op5_sampling": op5_sampling,
 }
 
 ORACLE_SQL = {
