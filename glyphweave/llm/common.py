@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Where the folders of staged tables are noted, if somebody sees to their removal.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: lineage ends there and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphweave/{name}-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting(folders: list[str]) -> Iterator[None]:
+    """Note the folders of all tables staged within in `folders`."""
+    token = _noted.set(folders)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Remove staged tables that no result still to be read depends on."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -65,13 +65,14 @@ def _round(runs: DataFrame, largest: bool) -> DataFrame:
     return runs.sortWithinPartitions("bucket", "run", "digest", "n_bytes", "mark", winner, "best_seq").mapInArrow(_merge, RUN_SCHEMA)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", leaves: int = LEAVES, fan_in: int = FAN_IN, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and row_col if it is named.
 
     keep is "smallest" or "largest": which identifier of a group of equal texts stays. Null text
     counts as empty. A null id loses to any other. Of several rows with the id that stays, the first
-    read is kept and the others are dropped, so one row of a group is kept, always. An empty table
-    gives no rows. Columns besides the two named ones are ignored, whatever they are called.
+    (by row_col, a column of distinct longs, or else as read) is kept and the others are dropped, so
+    one row of a group is kept, always. An empty table gives no rows. Columns besides those named are
+    ignored, whatever they are called.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
@@ -82,7 +83,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.unhex(F.sha2(text, 256)).alias("digest"),
             F.octet_length(text).cast("long").alias("n_bytes"),
             F.xxhash64(text).alias("mark"),
-            F.monotonically_increasing_id().alias("seq"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("seq"),
             F.spark_partition_id().alias("leaf"),
         ),
         "digests",
@@ -113,6 +114,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("copies").alias("group_size"),
         (F.col("seq") == F.col("best_seq")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *([F.col("seq").alias(row_col)] if row_col else []),
     )
 
 

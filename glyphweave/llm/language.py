@@ -110,6 +110,20 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     return rows.mapInArrow(_classify(content), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
+def _keep_told(content: dict[str, bytes], at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Classifier(content)
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def keep_told(docs: DataFrame, content: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text the classifier accepts (see identify); nothing is shuffled."""
+    return docs.mapInArrow(_keep_told(content, docs.columns.index(text_col)), docs.schema)
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the rows of `documents` that aren't held out."""
     return fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
