@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import layout
+from .registry import QUERIES, SQL, COVERS
+
+__all__ = ["COVERS", "flagship", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Lines to regions in reading order, summed up by document and kind."""
+    return layout.region_summary(spark, sf_dir)
