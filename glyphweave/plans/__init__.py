@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import layout
+from . import aggregates, graph, joins, layout, windows
 from .registry import QUERIES, SQL, COVERS
 
-__all__ = ["COVERS", "flagship", "oracle_sql", "queries"]
+__all__ = ["COVERS", "aggregates", "graph", "joins", "windows", "flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:

@@ -1,0 +1,73 @@
+"""Queries written once in SQL that both engines read, over the document fixtures and driver tables."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .. import fixtures as fx
+from .registry import query
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _layout(name: str):
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = fx.doc_lines(spark, sf_dir)
+        return lines if name == "doc_lines" else getattr(fx, name)(lines)
+
+    return make
+
+
+FIXTURES = {name: _layout(name) for name in ("doc_lines", "doc_pages", "doc_segments", "doc_fills", "doc_images")}
+FIXTURES |= {"table_rows": fx.table_rows, "table_cells": fx.table_cells, "node_tree": fx.node_tree}
+PRELUDE = {
+    "doc_lines": (fx.DOC_LINES,),
+    "doc_pages": (fx.DOC_LINES, fx.DOC_PAGES),
+    "doc_segments": (fx.DOC_LINES, fx.DOC_PAGES, fx.DOC_SEGMENTS),
+    "doc_fills": (fx.DOC_LINES, fx.DOC_PAGES, fx.DOC_FILLS),
+    "doc_images": (fx.DOC_LINES, fx.DOC_PAGES, fx.DOC_IMAGES),
+    "table_rows": (fx.TABLE_ROWS,),
+    "table_cells": (fx.TABLE_ROWS, fx.TABLE_CELLS),
+    "node_tree": (fx.NODE_TREE,),
+}
+_CHOICE = re.compile(r"<<(.*?)::(.*?)>>", re.DOTALL)
+
+
+def names_in(sql: str) -> list[str]:
+    return [n for n in (*FIXTURES, *TABLES) if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
+
+
+def for_spark(sql: str) -> str:
+    """The Spark reading, with the tables as named arguments."""
+    text = _CHOICE.sub(r"\1", sql).replace("{", "{{").replace("}", "}}")
+    for n in names_in(sql):
+        text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
+    return text
+
+
+def for_duckdb(sql: str) -> str:
+    """The DuckDB reading, with the fixtures as common table expressions."""
+    text = _CHOICE.sub(r"\2", sql)
+    parts = list(dict.fromkeys(p for n in names_in(sql) if n in PRELUDE for p in PRELUDE[n]))
+    if not parts:
+        return text
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", text)
+    lead = "WITH RECURSIVE " if head and head[1] else "WITH "
+    return lead + ",".join(parts) + ("," + text[head.end() :] if head else text)
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    tables = {n: FIXTURES[n](spark, sf_dir) if n in FIXTURES else fx.table(spark, sf_dir, n) for n in names_in(sql)}
+    return spark.sql(for_spark(sql), **tables)
+
+
+def shared(name: str, covers: str, sql: str) -> None:
+    """Register a query under a name. <<a::b>> reads a in Spark and b in DuckDB."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, sf_dir, sql)
+
+    f.__name__ = name
+    query(covers, for_duckdb(sql))(f)
