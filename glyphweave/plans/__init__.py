@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, graph, joins, layout, windows
+from . import aggregates, graph, joins, layout, scalars, windows
 from .registry import QUERIES, SQL, COVERS
 
-__all__ = ["COVERS", "aggregates", "graph", "joins", "windows", "flagship", "oracle_sql", "queries"]
+__all__ = ["COVERS", "aggregates", "graph", "joins", "scalars", "windows", "flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
