@@ -102,10 +102,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest = keep == "largest"
     runs = _round(runs, largest)  # the sorted runs of the leaves: no exchange
     width = leaves
-    while width > 1:
+    while True:
         width = -(-width // fan_in)
         runs = runs.withColumn("run", F.expr(f"run div {fan_in}").cast("int")).repartition("bucket", "run")
         runs = _round(runs, largest)
+        if width == 1:
+            break
     winners = stage(runs.select("digest", "n_bytes", "mark", "best", "best_seq", "copies"), "winners")
     out = salted_join(rows, winners, ["digest", "n_bytes", "mark"], "copies", rows.count(), F.col("seq"))
     return out.select(
