@@ -164,6 +164,8 @@ class Lattice:
 
     def _edges(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """node, share, start within the word, piece of all lattice edges, by node and start."""
+        if not words:
+            return (np.empty(0, dtype=np.int64),) * 4
         code = self.known[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")].astype(np.int64)
         size = np.array([len(w) for w in words], dtype=np.int64)
         begin = np.cumsum(size) - size
