@@ -6,7 +6,8 @@ when the margin to the runner-up is narrow.
 
 Dictionaries are fitted on a bounded sample: for each language the SAMPLE_ROWS training rows whose
 texts hash lowest, of each a span of up to SPAN characters at a place given by its hash, up to
-DICTIONARY bytes. That is all that comes to the driver, at most SAMPLE_ROWS * SPAN characters a language.
+DICTIONARY bytes. That and the count of each language is all that comes to the driver, at most
+SAMPLE_ROWS * SPAN characters a language.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ SPAN = 1000
 DICTIONARY = 400_000
 LEVEL = 6
 BLOCK = 2048
-#: Blocks below this many bytes are compressed at SHORT_LEVEL, which finds matches of three bytes.
+#: Blocks below this many bytes are compressed at SHORT_LEVEL, which finds matches of three bytes, behind
+#: a LEAD of the dictionary's own last bytes: alone they'd be stored as they are, the same for every language.
 SHORT = 512
 SHORT_LEVEL = 19
-MARGIN = 0.004
+LEAD = 256
+MARGIN = 0.001
 UNDETERMINED = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -48,9 +51,15 @@ def held_out(id_col: str) -> Column:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw dictionary content of every language of a table of labelled rows. Null texts and labels are left out."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    counts = dict(rows.groupBy("lang").count().collect())
+    if not counts:
+        return {}
     h = F.xxhash64("text")
     place = F.pmod(h, F.greatest(F.length("text") - SPAN, F.lit(0)) + 1).cast("int") + 1
-    spans = rows.select("lang", h.alias("h"), F.substring("text", place, F.lit(SPAN)).alias("span"))
+    # The lowest hashes of a language lie below a bound that its count tells, so few rows are dealt out, however common it is.
+    level = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 40))
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 4 * SAMPLE_ROWS / n)))])
+    spans = rows.select("lang", level.alias("h"), F.substring("text", place, F.lit(SPAN)).alias("span")).filter(F.col("h") < share[F.col("lang")] * (1 << 40))
     lowest = Window.partitionBy("lang").orderBy("h", "span")
     picked = spans.withColumn("n", F.row_number().over(lowest)).filter(F.col("n") <= SAMPLE_ROWS)
     parts: dict[str, list[str]] = {}
@@ -69,6 +78,8 @@ class Classifier:
                 d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=level)
                 self.by_level[level].append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.leads = [content[lang][-LEAD:] for lang in self.langs]
+        self.lead_sizes = [len(z.compress(lead)) for z, lead in zip(self.by_level[SHORT_LEVEL], self.leads, strict=True)]
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, margin from 0 to 1 (the runner-up's bytes that the winner saves), and whether it is accepted."""
@@ -78,10 +89,14 @@ class Classifier:
         sizes = [0] * len(self.langs)
         for at in range(0, len(data), BLOCK):
             block = data[at : at + BLOCK]
-            for k, z in enumerate(self.by_level[SHORT_LEVEL if len(block) < SHORT else LEVEL]):
-                sizes[k] += len(z.compress(block))
+            if len(block) < SHORT:
+                for k, z in enumerate(self.by_level[SHORT_LEVEL]):
+                    sizes[k] += len(z.compress(self.leads[k] + block)) - self.lead_sizes[k]
+            else:
+                for k, z in enumerate(self.by_level[LEVEL]):
+                    sizes[k] += len(z.compress(block))
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        margin = 1.0 if len(order) == 1 else (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]
+        margin = 1.0 if len(order) == 1 else min(1.0, max(0.0, (sizes[order[1]] - sizes[order[0]]) / max(sizes[order[1]], 1)))
         return self.langs[order[0]], margin, margin >= MARGIN
 
 
