@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, graph, joins, layout, pdf, scalars, windows
+from . import aggregates, documents, graph, joins, layout, pdf, scalars, windows
 from .registry import QUERIES, SQL, COVERS
 
-__all__ = ["COVERS", "aggregates", "graph", "joins", "pdf", "scalars", "windows", "flagship", "oracle_sql", "queries"]
+__all__ = ["COVERS", "aggregates", "documents", "graph", "joins", "pdf", "scalars", "windows", "flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:

@@ -85,7 +85,7 @@ def packings(data: bytes) -> dict[str, tuple[bytes, list[str], list[dict]]]:
     width = 64
     padded = data + bytes(-len(data) % width)
     rows = [padded[k : k + width] for k in range(0, len(padded), width)]
-    above = [bytes(width), *rows[:-1]]
+    above = [bytes(width), *rows][: len(rows)]
     up = b"".join(b"\x02" + bytes((x - u) & 255 for x, u in zip(r, a, strict=True)) for r, a in zip(rows, above, strict=True))
     return {
         "ASCII85Decode": (base64.a85encode(data) + b"~>", ["ASCII85Decode"], []),

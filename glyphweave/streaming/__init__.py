@@ -1,0 +1,26 @@
+"""Files as they arrive: each is complete in one row, so streams keep no state but the digests of what they have seen."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..convert import Options, convert
+
+SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arriving(spark: SparkSession, folder: str, glob: str = "*.pdf", late: str = "30 days") -> DataFrame:
+    """Files of a folder as they arrive, each content once within the watermark."""
+    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).load(folder)
+    return files.withColumn("sha256", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["sha256"])
+
+
+def convert_stream(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, options: Options = Options(), once: bool = True) -> StreamingQuery:  # noqa: B008
+    """Convert arriving files and hand each batch of results to a sink."""
+    results = convert(arriving(spark, folder), options=options)
+    writer = results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
