@@ -75,7 +75,7 @@ def _fill(capacity: int, slack: int, vocabulary: str) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         worker = TaskContext.get().partitionId()
-        next_id = worker << 40
+        next_id = worker << 28
         open_bins: dict[int, list[tuple]] = {}
 
         for batch in batches:
@@ -112,13 +112,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
 
-def _merge(level: int, root: bool, capacity: int, slack: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _merge(level: int, root: bool, capacity: int, tree: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A node of the tree: bins of k from what its workers left; at the root, first-fit decreasing for the last."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["worker", "doc_id", "start", "ids_crc32"], na_position="first", kind="stable")
-        group = int(rows["worker"].iloc[0]) // TREE
-        next_id = (level << 56) | (group << 28)
+        group = int(rows["worker"].iloc[0]) // tree
+        next_id = (level << 59) | (group << 28)
         left: dict[int, list[tuple]] = {}
         out: list[tuple] = []
         for doc_id, start, length, crc, tokens in rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False):
@@ -147,17 +147,18 @@ def _merge(level: int, root: bool, capacity: int, slack: int) -> Callable[[pd.Da
                 out += _bin(b, next_id, group)
                 next_id += 1
         names = [x.split()[0] for x in PIECES.split(", ")]
-        return pd.DataFrame(out, columns=names).astype("Int64")
+        # Columns one by one: a null among large numbers would make floats of a whole frame.
+        return pd.DataFrame({n: pd.array([r[k] for r in out], dtype="Int64") for k, n in enumerate(names)})
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: int = SLACK, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: int = SLACK, vocabulary: str = VOCABULARY, tree: int = TREE) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row is a document of its own, repeated rows and null ids too; null text is empty and gives
     the one closing token. A document of any length is tokenised whole. An empty table gives no rows.
-    sequence_id is unique, not dense: worker and level are in its upper bits. Other columns are ignored.
+    sequence_id is unique, not dense: level, worker and bin are its upper 4, middle 31 and lower 28 bits. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     filled = stage(rows.mapInArrow(_fill(capacity, slack, vocabulary), PIECES), "pieces")
@@ -167,8 +168,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     level = 0
     while True:
         level += 1
-        workers = -(-workers // TREE)
-        merged = stage(left.groupBy(F.expr(f"worker div {TREE}")).applyInPandas(_merge(level, workers == 1, capacity, slack), PIECES), "pieces")
+        workers = -(-workers // tree)
+        merged = stage(left.groupBy(F.expr(f"worker div {tree}")).applyInPandas(_merge(level, workers == 1, capacity, tree), PIECES), "pieces")
         done = done.union(merged.filter("sequence_id IS NOT NULL"))
         if workers == 1:
             break
