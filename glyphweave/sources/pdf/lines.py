@@ -6,8 +6,9 @@ from typing import Any
 
 from .fonts import LIGATURES
 
-#: A gap above this share of the size is a space.
+#: A gap above this share of the size is a space, and one above this many sizes parts two lines.
 WORD_GAP = 0.22
+LINE_GAP = 3.0
 
 
 def _no_space(c: str) -> bool:
@@ -38,8 +39,7 @@ def lines(glyphs: list[dict[str, Any]]) -> list[dict[str, Any]]:
         else:
             row.append(g)
     out = []
-    for row in rows:
-        row.sort(key=lambda g: (g["x0"], g["seq"]))
+    for row in _parted(rows):
         text = join(row)
         if text.strip():
             n = len(row)
@@ -51,6 +51,19 @@ def lines(glyphs: list[dict[str, Any]]) -> list[dict[str, Any]]:
     return out
 
 
+def _parted(rows: list[list[dict[str, Any]]]) -> list[list[dict[str, Any]]]:
+    """Glyphs of one baseline from left to right, parted where the gap is a gutter."""
+    out = []
+    for row in rows:
+        row.sort(key=lambda g: (g["x0"], g["seq"]))
+        start = 0
+        for k in range(1, len(row) + 1):
+            if k == len(row) or row[k]["x0"] - row[k - 1]["x1"] > LINE_GAP * max(row[k]["size"], row[k - 1]["size"]):
+                out.append(row[start:k])
+                start = k
+    return out
+
+
 def join(row: list[dict[str, Any]]) -> str:
     """Text of glyphs from left to right, a space where the gap is wide enough to be one."""
     out = ""

@@ -74,4 +74,4 @@ def text_pdf(text: str, per_page: int = 45, width: int = 90, compress: bool = Tr
         if row:
             rows.append(row)
     pages = [rows[k : k + per_page] for k in range(0, len(rows), per_page)] or [[]]
-    return make_pdf([b"\n".join(text_op(60, 740 - 15 * k, row, "F4", 8) for k, row in enumerate(page)) for page in pages], compress=compress)
+    return make_pdf([b"\n".join(text_op(60, 740 - 15 * k, row, "F1", 8) for k, row in enumerate(page)) for page in pages], compress=compress)
