@@ -36,6 +36,8 @@ SIZE = 400
 GRAM = 128
 SHARD_BYTES = 2_000_000
 KEY_REGIONS = 2_000
+#: Keys of several shards that are broadcast (12 bytes each); beyond it their join is salted.
+BROADCAST_KEYS = 10_000
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 21
 
@@ -310,9 +312,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = stage(cut, "pieces")
     distinct = pieces.groupBy("key", "d1", "d2").agg(F.sum("copies").alias("copies"), F.max("data").alias("data"))
     distinct = stage(distinct, "distinct")
-    parts = distinct.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / key_regions).cast("int").alias("m"))
-    many = parts.filter("m > 1")
-    alone = distinct.join(many, "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("sub", F.pmod("d1", F.col("m")).cast("int"))
+    parts = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.ceil(F.col("n") / key_regions).cast("int"))
+    many = stage(parts.filter("m > 1"), "many")
+    if many.count() <= BROADCAST_KEYS:  # so few that regions needn't move to meet them
+        sized = distinct.join(F.broadcast(many.drop("n")), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    else:
+        sized = salted_join(distinct, parts, ["key"], "n", distinct.count(), F.col("d1"))
+    alone = sized.withColumn("sub", F.pmod("d1", F.col("m")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("sub", j).alias("i"), F.greatest("sub", j).alias("j")))
     dealt = alone.withColumn("p", F.explode(pair)).select("key", "p.i", "p.j", "sub", "d1", "d2", "copies", "data")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -75,6 +75,11 @@ def test_against_brute_force(spark, options):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((None if i != i or i is None else int(i), int(n), int(r), int(s), h)) for i, n, r, s, h in want.itertuples(index=False))
 
 
+def test_many_keys_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BROADCAST_KEYS", 0)
+    test_against_brute_force(spark, {"key_regions": 2})
+
+
 def test_chunks_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK", 1500)
     rng = np.random.default_rng(9)
