@@ -5,21 +5,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from statistics import median
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import blocks
+from .operators import blocks, notes
 from .render import html, markdown
 from .ship import ship
 from .sources.pdf.reader import parse
 
 RESULT = "path string, markdown string, html string, nodes string, report string, error string"
 NODE = "path string, node int, parent int, ordinal int, depth int, kind string, text string, page int, confidence double, attrs string, evidence array<string>, lines array<string>"
-KINDS = frozenset("section heading paragraph list item quote code_block table table_row table_cell image caption thematic_break note toc toc_item form field artifact outline".split())
-CONTAINERS = frozenset({"section", "list", "table", "table_row", "table_cell", "image", "thematic_break", "outline"})
+KINDS = frozenset("section heading paragraph list item quote code_block table table_row table_cell image caption thematic_break note reference toc toc_item form field artifact outline".split())
+CONTAINERS = frozenset({"section", "list", "toc", "table", "table_row", "table_cell", "image", "thematic_break", "outline"})
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,8 @@ def convert_bytes(data: bytes, options: Options = Options()) -> dict[str, Any]:
             if n.kind == "heading":
                 n.attrs["level"] = 1
     blocks.anchors(nodes)
+    notes.enrich(nodes, rows, median([r["size"] for r in rows if r["kind"] == "line"] or [10.0]))
+    outline = notes.outline_targets([{"title": r["title"], "level": r["level"], "page": r["page"], "y": r["y"]} for r in rows if r["kind"] == "outline"], nodes)
     flat = blocks.adjacency(nodes)
     tree = [n.as_dict() for n in nodes]
     if options.page_breaks:
@@ -71,7 +74,7 @@ def convert_bytes(data: bytes, options: Options = Options()) -> dict[str, Any]:
     errors = validate(flat)
     report = {
         "pages": sum(r["kind"] == "page" for r in rows), "lines": sum(r["kind"] == "line" for r in rows), "glyphs": sum(r["kind"] == "glyph" for r in rows), "images": sum(r["kind"] == "image" for r in rows),
-        "nodes": len(flat), "kinds": sorted({n["kind"] for n in flat}), "warnings": [r["text"] for r in rows if r["kind"] == "warning"], "valid": not errors, "errors": errors[:8], "options": asdict(options),
+        "nodes": len(flat), "kinds": sorted({n["kind"] for n in flat}), "warnings": [r["text"] for r in rows if r["kind"] == "warning"], "outline": outline, "valid": not errors, "errors": errors[:8], "options": asdict(options),
     }
     try:
         page = html.render(tree, meta.get("title") or "", meta.get("lang") or "")

@@ -291,6 +291,10 @@ def _list_end(lines: list[dict[str, Any]], k: int) -> int:
     while end < len(lines):
         x, last = lines[end], lines[end - 1]
         marked = BULLET.match(x["text"]) or ORDERED.match(x["text"])
+        same = abs(x["x0"] - lines[k]["x0"]) <= max(4.0, 0.45 * x["size"])
+        other = bool(marked) and same and bool(BULLET.match(x["text"])) != bool(BULLET.match(lines[k]["text"]))
+        if other or x["y0"] - last["y1"] > 4 * x["size"]:
+            break  # another family of marks, or too far down
         hanging = x["x0"] > lines[k]["x0"] + 2 and x["y0"] - last["y1"] <= 0.9 * x["size"]
         if not (marked or hanging) or x["mono_ratio"] >= CODE_SHARE:
             break

@@ -230,3 +230,66 @@ def vector_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("D-36 S-20", "SELECT 'all' AS path, 'en' AS lang")
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf._structured(spark, sf_dir, "metadata").select("path", F.get_json_object("attrs", "$.lang").alias("lang"))
+
+
+@query("D-04 D-02", "SELECT n_regionkey, string_agg('left ' || lower(n_name) || ' has words', ' ' ORDER BY n_nationkey) || ' ' || string_agg('right ' || lower(n_name) || ' has words', ' ' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def two_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two columns, a line of either side on one baseline, read column by column."""
+    regions = fx.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.lower("n_name").alias("name")))).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..convert import convert_bytes
+
+        for b in batches:
+            out = []
+            for nations in b.column(1).to_pylist():
+                ops = [synthetic.text_op(x, 720 - 14 * k, f"{side} {n['name']} has words", size=9) for k, n in enumerate(nations) for side, x in (("left", 60), ("right", 330))]
+                nodes = convert_bytes(synthetic.make_pdf([b"\n".join(ops)]))["nodes"]
+                out.append(" ".join(n["text"] for n in nodes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["n_regionkey", "text"])
+
+    return regions.mapInArrow(run, "n_regionkey int, text string")
+
+
+@query("D-71 A-15", "SELECT n_nationkey, 'F' || (1 + n_nationkey % 2) AS font, cast(8 + n_nationkey % 5 AS DOUBLE) AS size, n_nationkey % 3 = 0 AS filled, CASE n_nationkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'center' ELSE 'right' END AS align FROM nation")
+def widget_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the appearance streams of form widgets show."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..sources.pdf.document import Document
+        from ..sources.pdf.structure import widget_appearance
+
+        for b in batches:
+            out = []
+            for k in b.column(0).to_pylist():
+                back = b"0.9 g 0 0 100 20 re f" if k % 3 == 0 else b"0.9 g 10 5 20 5 re f"
+                body = b"q %s Q BT 0 0 1 rg /F%d %d Tf (x) Tj ET" % (back, 1 + k % 2, 8 + k % 5)
+                stream = b"<< /Type /XObject /Subtype /Form /BBox [0 0 100 20] /Length %d >>\nstream\n%s\nendstream" % (len(body), body)
+                at = 2 + len(synthetic.FACES) + 2
+                doc = Document(synthetic.make_pdf([b""], extra=[stream, b"<< /T (a) /FT /Tx /Q %d /DA (/Helv 99 Tf) /AP << /N %d 0 R >> >>" % (k % 3, at + 1)]))
+                a = widget_appearance(doc, doc.get(at + 2))
+                out.append((k, a["font"], a["size"], "background" in a, a["align"]))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4])], ["n_nationkey", "font", "size", "filled", "align"])
+
+    return fx.table(spark, sf_dir, "nation").select("n_nationkey").mapInArrow(run, "n_nationkey int, font string, size double, filled boolean, align string")
+
+
+shared(
+    "timing",
+    "M-05",
+    "SELECT event_type, count(*) AS pages, round(sum(value), 6) AS seconds, round(sum(value) / count(*), 9) AS seconds_per_page FROM events WHERE value IS NOT NULL GROUP BY event_type",
+)
+
+
+@query("X-10 P-11 S-43", "SELECT n_nationkey, '   0    72.0    84.2 ' || n_name AS trace FROM nation")
+def traced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's trace of a page, as a projection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [synthetic.make_pdf([synthetic.text_op(72, 700, n)]) for n in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    rows = parse_table(fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "path string, content binary")).filter("kind = 'line'")
+    return rows.select(F.col("path").cast("int").alias("n_nationkey"), F.format_string("%4d %7.1f %7.1f %s", "seq", "x0", "y0", "text").alias("trace"))

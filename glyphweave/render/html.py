@@ -32,6 +32,11 @@ def block(node: dict[str, Any]) -> str:
         return f'<figure><img src="{escape(a.get("name") or "")}" alt="{escape(a.get("alt") or "")}"></figure>'
     if kind == "thematic_break":
         return "<hr>"
+    if kind == "toc":
+        line = lambda c: f'<a href="#{escape(c["attrs"]["target"])}">{escape(c["text"])}</a>' if c["attrs"].get("target") else escape(c["text"])
+        return f"<nav><ol>{''.join(f'<li>{line(c)} {escape(c["attrs"]["page_label"])}</li>' for c in node['children'])}</ol></nav>"
+    if kind in ("note", "reference"):
+        return f'<p id="{escape(a.get("anchor") or "")}">{escape(a.get("label") or "")} {text}</p>'
     return f"<p><strong>{text}</strong></p>" if a.get("strong") else f"<p>{text}</p>"
 
 

@@ -61,6 +61,28 @@ def items(node: dict[str, Any], depth: int = 0) -> list[str]:
     return out
 
 
+def label(node: dict[str, Any]) -> str:
+    return re.sub(r"[^A-Za-z0-9_.-]", "-", node["attrs"].get("anchor") or "note")
+
+
+def link(node: dict[str, Any]) -> str:
+    target = node["attrs"].get("target")
+    return f"[{escape(node['text'])}](#{target})" if target else escape(node["text"])
+
+
+def linked(node: dict[str, Any]) -> str:
+    """Escaped text in which citations of notes and pointers to figures lead there."""
+    text = escape(node["text"])
+    for x in node["attrs"].get("links", []):
+        old = escape(x["text"])
+        new = f"[^{x['target']}]" if x["target"].startswith(("note-", "reference-")) else f"[{old}](#{x['target']})"
+        if x["target"].startswith(("note-", "reference-")):
+            text = text.replace(old, old + new, 1) if new not in text and "," in x["text"] else text.replace(old, new, 1)
+        elif new not in text:
+            text = text.replace(old, new, 1)
+    return text
+
+
 def block(node: dict[str, Any]) -> str:
     kind, text = node["kind"], node["text"]
     if kind in ("artifact", "outline"):
@@ -81,7 +103,11 @@ def block(node: dict[str, Any]) -> str:
         return f"![{escape(node['attrs'].get('alt') or '')}]({node['attrs'].get('name') or ''})"
     if kind == "thematic_break":
         return "---"
-    return wrap("**", escape(text)) if node["attrs"].get("strong") else wrap("*", escape(text)) if kind == "caption" else escape(text)
+    if kind == "toc":
+        return "\n".join(f"- {link(c)} {c['attrs']['page_label']}" for c in node["children"])
+    if kind in ("note", "reference"):
+        return f"[^{label(node)}]: {linked(node)}"
+    return wrap("**", escape(text)) if node["attrs"].get("strong") else wrap("*", escape(text)) if kind == "caption" else linked(node)
 
 
 def render(nodes: list[dict[str, Any]]) -> str:

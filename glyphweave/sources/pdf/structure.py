@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from .content import text_string
+from .content import rgb, text_string, tokens
 from .document import Document
 from .objects import Name, Ref, Stream
 
@@ -147,11 +147,16 @@ def form_fields(doc: Document) -> list[dict[str, Any]]:
         value = "[redacted]" if kind == "Tx" and flags & FLAGS["password"] else _value(doc, state.get("V"))
         out.append({
             "name": ".".join(here), "type": kind, "kind": field_kind(kind, flags), "flags": sorted(k for k, v in FLAGS.items() if flags & v), "value": value, "options": [_option(doc, o) for o in doc.list_of(state.get("Opt"))],
-            "states": sorted({s for w in own for s in _states(doc, w)}), "pages": found, "label": _text(doc, node.get("TU")),
+            "states": sorted({s for w in own for s in _states(doc, w)}), "pages": found, "label": _text(doc, node.get("TU")), "appearance": _uniform([widget_appearance(doc, w) for w in own]),
         })
     return out
 
 
+def _uniform(found: list[dict[str, Any]]) -> dict[str, Any] | None:
+    """The appearance of a field's widgets if all of them agree."""
+    return found[0] if found and all(f == found[0] for f in found) else None
+
+
 def field_kind(kind: str, flags: int) -> str:
     if kind == "Btn":
         return "pushbutton" if flags & FLAGS["pushbutton"] else "radio" if flags & FLAGS["radio"] else "checkbox"
@@ -184,6 +189,53 @@ def _states(doc: Document, raw: Any) -> list[str]:
     return [str(k) for k in normal if k != "Off"] if isinstance(normal, dict) else []
 
 
+APPEARANCE_BYTES = 262_144
+
+
+def widget_appearance(doc: Document, raw: Any) -> dict[str, Any]:
+    """What a widget's appearance stream shows: its last text's font, size and colour, and a background that covers its box.
+
+    The stream counts, not the declared look (DA, MK), which is passed on under `declared` alone.
+    """
+
+    node = doc.dict_of(raw)
+    normal = doc.resolve(doc.dict_of(node.get("AP")).get("N"))
+    if isinstance(normal, dict):
+        state = doc.resolve(node.get("AS"))
+        live = [k for k in normal if k != "Off"]
+        normal = doc.resolve(normal.get(str(state))) if state in normal else doc.resolve(normal[live[0]]) if len(live) == 1 else None
+    declared = {k: _text(doc, doc.dict_of(node).get(k)) for k in ("DA",) if k in node}
+    out: dict[str, Any] = {"declared": declared, "align": {0: "left", 1: "center", 2: "right"}.get(doc.resolve(node.get("Q")), "left")}
+    if not isinstance(normal, Stream):
+        return out
+    box = doc.numbers(normal.attrs.get("BBox"))
+    fill, rects = (0.0, 0.0, 0.0), []
+    font: tuple[str, float] | None = None
+    stack: list[tuple] = []
+    for op, args in tokens(doc.bytes_of(normal)[:APPEARANCE_BYTES]):
+        values = [float(a) for a in args if isinstance(a, (int, float))]
+        if op == "q" and len(stack) < 64:
+            stack.append((fill, font))
+        elif op == "Q" and stack:
+            fill, font = stack.pop()
+        elif op in ("g", "rg", "k") and values:
+            fill = rgb({"g": "gray", "rg": "rgb", "k": "cmyk"}[op], values)
+        elif op == "Tf" and len(args) == 2:
+            font = (str(args[0]), float(args[1]))
+        elif op == "re" and len(values) == 4:
+            rects.append(values)
+        elif op in ("f", "F", "f*", "B", "b"):
+            for x, y, w, h in rects:
+                if len(box) == 4 and x <= box[0] + 1 and y <= box[1] + 1 and x + w >= box[2] - 1 and y + h >= box[3] - 1:
+                    out["background"] = list(fill)
+            rects = []
+        elif op in ("S", "s", "n"):
+            rects = []
+        elif op in ("Tj", "TJ", "'", '"'):
+            out |= {"text_color": list(fill), "font": font[0] if font else None, "size": font[1] if font else None}
+    return out
+
+
 def outline(doc: Document) -> list[dict[str, Any]]:
     """Outline entries in adjacency form, destinations resolved: node, parent, level, title, page, y."""
     pages = page_numbers(doc)
