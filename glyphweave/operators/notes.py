@@ -87,8 +87,8 @@ def mark_footnotes(nodes: list[Node], sizes: dict[str, tuple[float, float]], bod
     k = 0
     while k < len(nodes):
         n = nodes[k]
-        if n.kind == "list" and n.attrs.get("ordered") and n.children and all(low(c) and not c.children and re.search(r"\d", c.attrs["marker"]) for c in n.children):
-            notes = [Node("note", c.text, n.page, {"label": (label := re.sub(r"\D", "", c.attrs["marker"])), "anchor": f"note-{n.page}-{label}"}, c.confidence, ["footnote_geometry"], c.lines) for c in n.children]
+        if n.kind == "list" and n.children and all(low(c) and not c.children and re.search(r"[\d*†‡§¶]", c.attrs["marker"]) for c in n.children):
+            notes = [Node("note", c.text, n.page, {"label": (label := re.sub(r"[^\d*†‡§¶]", "", c.attrs["marker"])), "anchor": f"note-{n.page}-{label}"}, c.confidence, ["footnote_geometry"], c.lines) for c in n.children]
             nodes[k : k + 1] = notes
             k += len(notes)
             continue
