@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from .operators import blocks, notes
 from .render import html, markdown
 from .ship import ship
-from .sources.pdf.reader import parse
+from .sources.pdf.reader import read
 
 RESULT = "path string, markdown string, html string, nodes string, report string, error string"
 NODE = "path string, node int, parent int, ordinal int, depth int, kind string, text string, page int, confidence double, attrs string, evidence array<string>, lines array<string>"
 KINDS = frozenset("section heading paragraph list item quote code_block table table_row table_cell image caption thematic_break note reference toc toc_item form field artifact outline".split())
+USED = frozenset({"page", "line", "glyph", "segment", "image", "outline", "metadata", "warning", "error"})
 CONTAINERS = frozenset({"section", "list", "toc", "table", "table_row", "table_cell", "image", "thematic_break", "outline"})
 
 
@@ -56,7 +57,7 @@ def validate(nodes: list[dict[str, Any]]) -> list[str]:
 
 def convert_bytes(data: bytes, options: Options = Options()) -> dict[str, Any]:  # noqa: B008
     """One file: markdown, html, nodes (adjacency rows), report, error."""
-    rows = [{**r, **json.loads(r["attrs"])} for r in parse(data, options.pages)]
+    rows = read(data, options.pages, USED)
     error = next((r["text"] for r in rows if r["kind"] == "error"), None)
     nodes = blocks.build(rows)
     if options.heading_levels == "flat":

@@ -176,7 +176,7 @@ def pdf_form_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
     files = fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "path string, content binary")
-    lines = parse_table(files).filter("kind = 'line'").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda r: r["text"]), " ").alias("text"))
+    lines = parse_table(files, kinds=frozenset({"line"})).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda r: r["text"]), " ").alias("text"))
     return lines.select(F.col("path").cast("int").alias("n_nationkey"), "text")
 
 
@@ -291,5 +291,5 @@ def traced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             made = [synthetic.make_pdf([synthetic.text_op(72, 700, n)]) for n in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
-    rows = parse_table(fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "path string, content binary")).filter("kind = 'line'")
+    rows = parse_table(fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "path string, content binary"), kinds=frozenset({"line"}))
     return rows.select(F.col("path").cast("int").alias("n_nationkey"), F.format_string("%4d %7.1f %7.1f %s", "seq", "x0", "y0", "text").alias("trace"))

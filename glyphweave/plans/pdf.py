@@ -14,7 +14,7 @@ from ..fixtures import table
 from ..sources.pdf import filters, synthetic
 from ..sources.pdf.content import tokens
 from ..sources.pdf.fonts import parse_cmap
-from ..sources.pdf.reader import parse, parse_table
+from ..sources.pdf.reader import parse_table, read
 from .registry import query
 
 
@@ -42,8 +42,8 @@ def pdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
-                rows = parse(synthetic.text_pdf(text))
-                out.append(" ".join(" ".join(r["text"] for r in rows if r["kind"] == "line").split()))
+                rows = read(synthetic.text_pdf(text), kinds=frozenset({"line", "error"}))
+                out.append(" ".join(" ".join(r["text"] for r in rows).split()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return _spread(docs).mapInArrow(run, "doc_id long, text string")
@@ -208,7 +208,7 @@ def _structured(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             made = [_structured_pdf([(x["n_nationkey"], x["n_name"], x["n_regionkey"]) for x in n]) for n in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
-    return parse_table(nations.mapInArrow(run, "path string, content binary")).filter(F.col("kind") == kind)
+    return parse_table(nations.mapInArrow(run, "path string, content binary"), kinds=frozenset({kind}))
 
 
 @query("S-22 J-05", "SELECT n_name AS title, cast(row_number() OVER (ORDER BY n_nationkey) AS INT) AS page, cast(701 - row_number() OVER (ORDER BY n_nationkey) AS DOUBLE) AS y FROM nation")

@@ -120,13 +120,16 @@ class Font:
     mono: bool
     bold: bool
     italic: bool
+    known: dict[int, tuple[bytes, str, float]] = field(default_factory=dict)
 
     def decode(self, data: bytes) -> list[tuple[bytes, str, float]]:
         """Code, text and width (in thousandths of the size) of each glyph of a string."""
         if self.composite:
             codes = (self.to_unicode or CMap()).split(data, 2)
             return [(c, (self.to_unicode.texts.get(c, "") if self.to_unicode else ""), self.widths.get(int.from_bytes(c, "big"), self.default_width)) for c in codes]
-        return [(bytes([b]), self._simple(b), self.widths.get(b, self.default_width)) for b in data]
+        for b in set(data) - self.known.keys():
+            self.known[b] = bytes([b]), self._simple(b), self.widths.get(b, self.default_width)
+        return [self.known[b] for b in data]
 
     def _simple(self, code: int) -> str:
         if self.to_unicode and (t := self.to_unicode.texts.get(bytes([code]))) is not None:

@@ -7,7 +7,7 @@ with binaryFile, and the `pdf` data source lists files on the driver and reads t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -25,37 +25,52 @@ ROW = "path string, kind string, page int, seq int, x0 double, y0 double, x1 dou
 _NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 
-def parse(data: bytes, pages: str | None = None) -> list[dict[str, Any]]:
-    """Rows of one file, told apart by kind: page, line, glyph, segment, fill, path, image, tag, field, outline, link, metadata, warning.
+_BOX = ("x0", "y0", "x1", "y1")
+_PAINTED = ("glyphs", "segments", "fills", "paths", "images")
+KINDS = frozenset({"page", "line", *(k[:-1] for k in _PAINTED), "tag", "field", "outline", "link", "metadata", "warning", "error"})
 
+
+def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -> list[dict[str, Any]]:
+    """Rows of one file, told apart by kind, with all that is known of each.
+
+    Kinds are page, line, glyph, segment, fill, path, image, tag, field, outline, link, metadata, warning.
     A file that can't be read gives a row of kind error and whatever came before.
     """
     out: list[dict[str, Any]] = []
 
-    def put(kind: str, row: dict[str, Any], text: str | None = None) -> None:
-        box = {k: float(row[k]) if row.get(k) is not None else None for k in ("x0", "y0", "x1", "y1")}
-        rest = {k: v for k, v in row.items() if k not in ("page", "seq", "text", *box)}
-        out.append({"kind": kind, "page": row.get("page"), "seq": row.get("seq"), **box, "text": text if text is not None else row.get("text"), "attrs": json.dumps(rest, sort_keys=True, default=str)})
+    def put(kind: str, rows: Iterable[dict[str, Any]]) -> None:
+        if kind in kinds:
+            out.extend({"kind": kind, **r} for r in rows)
 
     try:
         doc = Document(data)
-        put("metadata", metadata(doc))
+        put("metadata", [metadata(doc)])
         for page in doc.pages(parse_pages(pages)):
             reader = Interpreter(doc, page)
             rows = reader.run()
-            put("page", {"page": page.number, "seq": 0, "x0": 0.0, "y0": 0.0, "x1": reader.width, "y1": reader.height})
-            for line in lines(rows.glyphs):
-                put("line", line)
-            for kind in ("glyphs", "segments", "fills", "paths", "images"):
-                for row in getattr(rows, kind):
-                    put(kind[:-1], row)
-        for kind, found in (("tag", tagged_nodes(doc)), ("field", form_fields(doc)), ("outline", outline(doc)), ("link", links(doc))):
-            for k, row in enumerate(found):
-                put(kind, {"seq": k, **row}, row.get("title") or row.get("name") or row.get("uri"))
-        for k, w in enumerate(doc.warnings):
-            put("warning", {"seq": k}, w)
+            put("page", [{"page": page.number, "seq": 0, "x0": 0.0, "y0": 0.0, "x1": reader.width, "y1": reader.height}])
+            if "line" in kinds:
+                put("line", lines(rows.glyphs))
+            for kind in _PAINTED:
+                put(kind[:-1], getattr(rows, kind))
+        for kind, found in (("tag", tagged_nodes), ("field", form_fields), ("outline", outline), ("link", links)):
+            if kind in kinds:
+                named = "title" if kind in ("tag", "outline") else "name" if kind == "field" else "uri"
+                put(kind, ({"seq": k, **r, "text": r.get(named)} for k, r in enumerate(found(doc))))
+        put("warning", ({"seq": k, "text": w} for k, w in enumerate(doc.warnings)))
     except (PdfError, ValueError, RecursionError) as e:
-        put("error", {}, f"{type(e).__name__}: {e}")
+        put("error", [{"text": f"{type(e).__name__}: {e}"}])
+    return out
+
+
+def parse(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -> list[dict[str, Any]]:
+    """The rows of `read` in the columns of ROW: what has no column of its own is JSON in attrs."""
+    own = {"kind", "page", "seq", "text", *_BOX}
+    out = []
+    for r in read(data, pages, kinds):
+        rest = {k: v for k, v in r.items() if k not in own}
+        box = {k: None if r.get(k) is None else float(r[k]) for k in _BOX}
+        out.append({"kind": r["kind"], "page": r.get("page"), "seq": r.get("seq"), **box, "text": r.get("text"), "attrs": json.dumps(rest, sort_keys=True, default=str)})
     return out
 
 
@@ -64,13 +79,13 @@ def _batch(rows: list[dict[str, Any]], path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path if n == "path" else r.get(n) for r in rows], kinds.get(n, pa.string())) for n in _NAMES], _NAMES)
 
 
-def parse_table(files: DataFrame, path_col: str = "path", content_col: str = "content", pages: str | None = None) -> DataFrame:
-    """Rows of the files of a table with a path and a binary column."""
+def parse_table(files: DataFrame, path_col: str = "path", content_col: str = "content", pages: str | None = None, kinds: frozenset[str] = KINDS) -> DataFrame:
+    """Rows of the files of a table with a path and a binary column; only those of the kinds that are asked for are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _batch(parse(content or b"", pages), path)
+                yield _batch(parse(content or b"", pages, kinds), path)
 
     return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(run, ROW)
 
