@@ -223,7 +223,7 @@ def pdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pdf_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lambda k: F.get_json_object("attrs", f"$.{k}")
-    return _structured(spark, sf_dir, "field").select(F.col("text").alias("name"), a("kind").alias("kind"), a("value").alias("value"), a("label").alias("label"))
+    return _structured(spark, sf_dir, "field").select(F.col("text").alias("name"), a("what").alias("kind"), a("value").alias("value"), a("label").alias("label"))
 
 
 @query(
@@ -232,8 +232,8 @@ def pdf_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pdf_tagged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged leaves joined to their glyphs by page and marked content."""
-    tags = _structured(spark, sf_dir, "tag").select("page", F.from_json("attrs", "kind string, confidence double, mcids array<struct<page: int, mcid: int>>").alias("t"))
-    keys = tags.select(F.col("t.kind").alias("kind"), F.col("t.confidence").alias("confidence"), F.inline("t.mcids"))
+    tags = _structured(spark, sf_dir, "tag").select("page", F.from_json("attrs", "what string, confidence double, mcids array<struct<page: int, mcid: int>>").alias("t"))
+    keys = tags.select(F.col("t.what").alias("kind"), F.col("t.confidence").alias("confidence"), F.inline("t.mcids"))
     glyphs = _structured(spark, sf_dir, "glyph").select("page", "seq", "text", F.get_json_object("attrs", "$.mcid").cast("int").alias("mcid"))
     text = glyphs.groupBy("page", "mcid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda g: g["text"]), "").alias("text"))
     return keys.join(text, ["page", "mcid"], "left").select("page", "kind", "text", "confidence")

@@ -34,6 +34,7 @@ def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -
     """Rows of one file, told apart by kind, with all that is known of each.
 
     Kinds are page, line, glyph, segment, fill, path, image, tag, field, outline, link, metadata, warning.
+    What kind of node a tag makes, or of field a field is, stands under `what`.
     A file that can't be read gives a row of kind error and whatever came before.
     """
     out: list[dict[str, Any]] = []
@@ -56,7 +57,7 @@ def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -
         for kind, found in (("tag", tagged_nodes), ("field", form_fields), ("outline", outline), ("link", links)):
             if kind in kinds:
                 named = "title" if kind in ("tag", "outline") else "name" if kind == "field" else "uri"
-                put(kind, ({"seq": k, **r, "text": r.get(named)} for k, r in enumerate(found(doc))))
+                put(kind, ({"seq": k, **{"what" if n == "kind" else n: v for n, v in r.items()}, "text": r.get(named)} for k, r in enumerate(found(doc))))
         put("warning", ({"seq": k, "text": w} for k, w in enumerate(doc.warnings)))
     except (PdfError, ValueError, RecursionError) as e:
         put("error", [{"text": f"{type(e).__name__}: {e}"}])
