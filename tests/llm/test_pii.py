@@ -1,11 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from glyphweave.llm.pii import KINDS, find_private
 
@@ -56,14 +55,21 @@ def test_base_spans(spark):
     compare(spark, CASES)
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.text(alphabet="a1209.@+-_() é\n%", max_size=60), min_size=40, max_size=60))
-def test_base_spans_of_any_text(spark, texts):
-    compare(spark, texts)
+def test_base_spans_of_any_text(spark):
+    rng = random.Random(11)
+    compare(spark, ["".join(rng.choice("a1209.@+-_() é\n%") for _ in range(rng.randrange(90))) for _ in range(1500)])
 
 
 def test_long_texts(spark):
-    compare(spark, ["1" * 300_000, "a" * 300_000 + "@", "@a.b" * 4000, " ".join(f"10.0.{k % 256}.{k % 200} u{k}@x.org" for k in range(3000)), "a@" + "b." * 100_000 + "c", "+" + "1 " * 150_000])
+    compare(spark, ["1" * 3000, "a" * 3000 + "@", "@a.b" * 600, " ".join(f"10.0.{k % 256}.{k % 200} u{k}@x.org" for k in range(1500)), "a@" + "b." * 3000 + "c", "+" + "1 " * 3000])
+
+
+def test_very_long_texts_take_linear_time(spark):
+    """The plain patterns would take hours on these; what they hold is known."""
+    texts = ["1" * 400_000, "a" * 400_000 + "@", "+" + "1 " * 200_000, "a@" + "b." * 200_000 + "c", "10.0.0.1 " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in find_private(docs).collect()}
+    assert got == {0: (0, 0, 0, 0), 1: (0, 0, 0, 0), 2: (0, 0, 0, 0), 3: (1, 0, 0, 0), 4: (0, 30_000, 0, 0)}
 
 
 def letter(words, value):
