@@ -109,7 +109,7 @@ shared(
 shared(
     "directory_difference",
     "U-06 U-03",
-    """WITH e AS (SELECT page_id AS path, length(html) AS size, <<sha2(html, 256)::sha256(html)>> AS sha FROM pages WHERE page_id % 7 <> 0), a AS (SELECT page_id AS path, length(html) AS size, <<sha2(CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END, 256)::sha256(CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END)>> AS sha FROM pages WHERE page_id % 9 <> 0)
+    """WITH e AS (SELECT page_id AS path, length(html) AS size, <<sha2(html, 256)::sha256(html)>> AS sha FROM pages WHERE url NOT LIKE '%#%'), a AS (SELECT page_id AS path, length(html) AS size, <<sha2(CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END, 256)::sha256(CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END)>> AS sha FROM pages WHERE url NOT LIKE '%?%')
     SELECT coalesce(e.path, a.path) AS path, CASE WHEN e.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN e.sha <> a.sha OR e.size <> a.size THEN 'changed' ELSE 'same' END AS state FROM e FULL JOIN a ON e.path = a.path""",
 )
 shared(

@@ -27,8 +27,8 @@ shared(
 shared(
     "graph_cycles",
     "P-08 J-13",
-    """WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, (s_suppkey * 7 + 3) % 11 AS b FROM supplier WHERE s_suppkey < 11),
-    w AS (SELECT a AS root, b AS at, cast('/' || a || '/' AS <<string::varchar>>) AS seen, 0 AS depth, false AS cycle FROM e UNION ALL SELECT w.root, e.b, w.seen || e.a || '/', w.depth + 1, <<contains(w.seen, '/' || e.b || '/')::contains(w.seen, '/' || e.b || '/')>> FROM w JOIN e ON e.a = w.at WHERE NOT w.cycle AND w.depth < 20)
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 30 AS b FROM nation),
+    w AS (SELECT a AS root, b AS at, cast('/' || a || '/' AS <<string::varchar>>) AS seen, 0 AS depth, false AS cycle FROM e UNION ALL SELECT w.root, e.b, w.seen || e.a || '/', w.depth + 1, <<contains(w.seen, '/' || e.b || '/')::contains(w.seen, '/' || e.b || '/')>> FROM w JOIN e ON e.a = w.at WHERE NOT w.cycle AND w.depth < 40)
     SELECT root, max(depth) AS depth, <<bool_or(cycle)::bool_or(cycle)>> AS cycle FROM w GROUP BY root""",
 )
 shared(

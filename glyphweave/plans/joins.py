@@ -43,7 +43,7 @@ shared(
 # Tagged leaves are order lines, glyphs are the lines of the other numbering that share a part.
 TAGGED = """
 tagged AS (SELECT l_orderkey AS doc, l_partkey % 50 AS mcid, 1 + l_linenumber % 2 AS page, min(l_linenumber) AS node, max(l_returnflag) AS role FROM lineitem GROUP BY l_orderkey, l_partkey % 50, 1 + l_linenumber % 2),
-glyphs AS (SELECT l_orderkey AS doc, l_partkey % 50 AS mcid, 1 + l_linenumber % 2 AS page, l_linenumber AS seq, cast(min(l_quantity) AS BIGINT) AS y0, min(substr(l_linestatus, 1, 1)) AS ch FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY l_orderkey, l_partkey % 50, 1 + l_linenumber % 2, l_linenumber)
+glyphs AS (SELECT l_orderkey AS doc, l_partkey % 50 AS mcid, 1 + l_linenumber % 2 AS page, l_linenumber AS seq, cast(min(l_quantity) AS BIGINT) AS y0, min(substr(l_linestatus, 1, 1)) AS ch FROM lineitem WHERE l_tax > 0.01 GROUP BY l_orderkey, l_partkey % 50, 1 + l_linenumber % 2, l_linenumber)
 """
 shared(
     "tagged_text",
@@ -68,10 +68,10 @@ shared(
     "outline_targets",
     "J-05 F-02 U-02",
     r"""WITH w AS (SELECT doc_id, page, seq, bold, <<array_sort(array_distinct(filter(split(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ')), ' '), x -> x <> '')))::list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda x: x <> '')))>> AS words FROM doc_lines),
-    title AS (SELECT doc_id, page, seq AS title_seq, <<slice(words, 1, 9)::words[1:9]>> AS words FROM w WHERE seq % 8 = 0),
-    heading AS (SELECT doc_id, page, seq, words FROM w WHERE bold OR seq % 8 = 0),
-    pair AS (SELECT t.doc_id, t.page, t.title_seq, h.seq, 1.0 * <<size(array_intersect(t.words, h.words)) / greatest(1, size(array_union(t.words, h.words)))::len(list_intersect(t.words, h.words)) / greatest(1, len(list_distinct(list_concat(t.words, h.words))))>> AS jaccard FROM title t JOIN heading h ON t.doc_id = h.doc_id AND t.page = h.page),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, title_seq ORDER BY jaccard DESC, abs(seq - title_seq), seq) AS n FROM pair WHERE jaccard >= 0.3)
+    title AS (SELECT doc_id, page, seq AS title_seq, words FROM w WHERE bold),
+    heading AS (SELECT doc_id, page, seq, words FROM w),
+    pair AS (SELECT t.doc_id, t.page, t.title_seq, h.seq, 1.0 * <<size(array_intersect(t.words, h.words)) / greatest(1, size(array_union(t.words, h.words)))::len(list_intersect(t.words, h.words)) / greatest(1, len(list_distinct(list_concat(t.words, h.words))))>> AS jaccard FROM title t JOIN heading h ON t.doc_id = h.doc_id AND t.page = h.page AND t.title_seq <> h.seq),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, title_seq ORDER BY jaccard DESC, abs(seq - title_seq), seq) AS n FROM pair WHERE jaccard >= 0.1)
     SELECT doc_id, page, title_seq, seq AS target_seq, cast(jaccard AS DOUBLE) AS jaccard, jaccard >= 0.72 AS resolved FROM ranked WHERE n = 1""",
 )
 shared(

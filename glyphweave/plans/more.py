@@ -51,7 +51,7 @@ shared(
     "artifact_recovery",
     "D-25 P-13",
     """SELECT doc_id, page, seq, CASE WHEN size >= 11 AND length(text) <= 60 THEN 'heading' ELSE 'callout' END AS kind, least(cast(0.96 AS DOUBLE), CASE WHEN size >= 11 AND length(text) <= 60 THEN cast(0.86 AS DOUBLE) ELSE cast(0.88 AS DOUBLE) END) AS confidence, 'artifact_recovered' AS evidence
-    FROM doc_lines WHERE (doc_id + seq) % 9 = 0 AND y0 > 792 * 0.15 AND y1 < 792 * 0.85""",
+    FROM doc_lines WHERE bold AND y0 > 792 * 0.15 AND y1 < 792 * 0.85""",
 )
 shared(
     "tagged_prior",
@@ -183,7 +183,7 @@ def pdf_form_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("S-44 M-03", "SELECT doc_id, doc_id % 10 = 3 AS failed FROM documents")
 def prediction_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversions of which every tenth is given a file that is encrypted: it fails alone."""
-    made = pdf._pdfs(fx.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text")))
+    made = pdf._pdfs(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
     locked = F.encode(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [] /Count 0 >>\nendobj\ntrailer\n<< /Root 1 0 R /Encrypt << /Filter /Standard >> >>\n"), "UTF-8")
     files = made.withColumn("content", F.when(F.col("path").cast("long") % 10 == 3, locked).otherwise(F.col("content")))
     return convert(files).select(F.col("path").cast("long").alias("doc_id"), F.col("error").isNotNull().alias("failed"))

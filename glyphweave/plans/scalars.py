@@ -26,9 +26,9 @@ def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations(spark, sf_dir).select("conv_id", "turn", T.title_key(F.col("text")).alias("key"))
 
 
-@query("F-03", "SELECT conv_id, turn, CASE WHEN trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'c' || conv_id ELSE trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM conversations WHERE text IS NOT NULL")
+@query("F-03", "SELECT conv_id, turn, CASE WHEN trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'c' || conv_id ELSE trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM conversations WHERE text IS NOT NULL")
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conversations(spark, sf_dir).select("conv_id", "turn", T.slug(F.substring("text", 1, 60), F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("slug"))
+    return _conversations(spark, sf_dir).select("conv_id", "turn", T.slug(F.col("text"), F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("slug"))
 
 
 @query("F-05", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
@@ -143,10 +143,10 @@ def gfm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "F-07 F-06",
-    "WITH p AS (SELECT b.item_id, p.p_partkey, regexp_replace(substr(b.text, 1, 24), '[^ -~]', '', 'g') AS a, regexp_replace(substr(p.p_name || ' ' || p.p_type, 1, 24), '[^ -~]', '', 'g') AS b FROM benchmark b JOIN part p ON b.item_id % 20 = p.p_partkey % 20) SELECT item_id, p_partkey, CASE WHEN a = b THEN 0.0 ELSE cast(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) END AS ratio FROM p",
+    "WITH p AS (SELECT b.item_id, p.p_partkey, regexp_replace(b.text, '[^ -~]', '', 'g') AS a, regexp_replace(p.p_name || ' ' || p.p_type, '[^ -~]', '', 'g') AS b FROM benchmark b JOIN part p ON b.item_id % 20 = p.p_partkey % 20) SELECT item_id, p_partkey, CASE WHEN a = b THEN 0.0 ELSE cast(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)) END AS ratio FROM p",
 )
 def levenshtein_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_part = lambda c: F.regexp_replace(F.substring(c, 1, 24), "[^ -~]", "")
+    ascii_part = lambda c: F.regexp_replace(c, "[^ -~]", "")
     b = table(spark, sf_dir, "benchmark").select("item_id", ascii_part(F.col("text")).alias("a"), (F.col("item_id") % 20).alias("k"))
     p = table(spark, sf_dir, "part").select("p_partkey", ascii_part(F.concat_ws(" ", "p_name", "p_type")).alias("b"), (F.col("p_partkey") % 20).alias("k"))
     return b.join(p, "k").select("item_id", "p_partkey", T.edit_ratio(F.col("a"), F.col("b")).alias("ratio"))

@@ -14,7 +14,7 @@ shared(
 shared(
     "start_gap_split",
     "W-17 D-03",
-    """WITH s AS (SELECT DISTINCT l_suppkey AS grp, round(l_quantity, 1) AS x FROM lineitem WHERE l_partkey % 7 = 0), g AS (SELECT grp, x, lead(x) OVER (PARTITION BY grp ORDER BY x) AS nxt FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY nxt - x DESC, x) AS k FROM g WHERE nxt IS NOT NULL)
+    """WITH s AS (SELECT DISTINCT l_orderkey AS grp, round(l_quantity, 1) AS x FROM lineitem), g AS (SELECT grp, x, lead(x) OVER (PARTITION BY grp ORDER BY x) AS nxt FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY nxt - x DESC, x) AS k FROM g WHERE nxt IS NOT NULL)
     SELECT grp, x AS left_start, nxt AS right_start, nxt - x AS gap, (x + nxt) / 2 AS separator FROM r WHERE k = 1""",
 )
 shared(
@@ -106,6 +106,6 @@ shared(
 shared(
     "indent_parents",
     "W-12 D-32",
-    """WITH l AS (SELECT doc_id, page, seq, x0, size FROM doc_lines WHERE (doc_id + seq) % 2 = 0), p AS (SELECT a.doc_id, a.page, a.seq, max(b.seq) AS parent FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.page = b.page AND b.seq < a.seq AND b.seq >= a.seq - 12 AND b.x0 < a.x0 - greatest(4, 0.45 * a.size) GROUP BY a.doc_id, a.page, a.seq)
+    """WITH l AS (SELECT doc_id, page, seq, x0, size FROM doc_lines), p AS (SELECT a.doc_id, a.page, a.seq, max(b.seq) AS parent FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.page = b.page AND b.seq < a.seq AND b.seq >= a.seq - 12 AND b.x0 < a.x0 - greatest(4, 0.45 * a.size) GROUP BY a.doc_id, a.page, a.seq)
     SELECT l.doc_id, l.page, l.seq, p.parent FROM l LEFT JOIN p ON l.doc_id = p.doc_id AND l.page = p.page AND l.seq = p.seq""",
 )
