@@ -57,18 +57,24 @@ BELIEF = 0.7
 BLOCK = 256
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value, which is computed once however often the name stands."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _located(pattern: str) -> str:
     """SQL: matches of a pattern in t with the pieces of text before and after them and their start."""
     found = f"regexp_extract_all(t, r'{pattern}', 0)"
     pieces = f"split(t, r'{pattern}', -1)"
-    items = f"slice(zip_with({found}, {pieces}, (m, p) -> named_struct('m', m, 'p', p)), 1, size({found}))"
-    items = f"zip_with({items}, slice({pieces}, 2, size({found})), (x, q) -> named_struct('m', x.m, 'p', x.p, 'q', q))"
-    blocks = f"transform(sequence(0, (size({found}) - 1) div {BLOCK}), b -> slice({items}, b * {BLOCK} + 1, {BLOCK}))"
+    items = "zip_with(w.f, w.p, (m, p) -> named_struct('m', m, 'p', p))"
+    items = f"zip_with({items}, slice(w.p, 2, size(w.f)), (x, q) -> named_struct('m', x.m, 'p', x.p, 'q', q))"
     empty = "cast(array() as array<struct<m: string, p: string, q: string, at: bigint>>)"
     step = "named_struct('at', a.at + length(x.p) + length(x.m), 'out', concat(a.out, array(named_struct('m', x.m, 'p', x.p, 'q', x.q, 'at', a.at + length(x.p)))))"
     inner = f"aggregate(block, named_struct('at', acc.at, 'out', {empty}), (a, x) -> {step})"
-    outer = f"aggregate({blocks}, named_struct('at', 0L, 'out', {empty}), (acc, block) -> transform(array({inner}), i -> named_struct('at', i.at, 'out', concat(acc.out, i.out)))[0])"
-    return f"{outer}.out"
+    outer = _let("i", inner, "named_struct('at', i.at, 'out', concat(acc.out, i.out))")
+    blocks = f"transform(sequence(0, (n - 1) div {BLOCK}), b -> slice(v, b * {BLOCK} + 1, least({BLOCK}, n - b * {BLOCK})))"
+    walked = f"aggregate({blocks}, named_struct('at', 0L, 'out', {empty}), (acc, block) -> {outer}).out"
+    return _let("w", f"named_struct('f', {found}, 'p', {pieces})", _let("v", items, _let("n", "size(w.f)", walked)))
 
 
 def _spans(kind: str) -> str:
