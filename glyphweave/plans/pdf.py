@@ -73,7 +73,7 @@ def filter_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     digests.append(hashlib.sha256(back[: len(data)]).hexdigest() if not warnings else "; ".join(warnings))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codecs), pa.array(digests)], ["page_id", "codec", "digest"])
 
-    return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", "html").mapInArrow(run, "page_id long, codec string, digest string")
+    return _spread(table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", "html")).mapInArrow(run, "page_id long, codec string, digest string")
 
 
 def packings(data: bytes) -> dict[str, tuple[bytes, list[str], list[dict]]]:
