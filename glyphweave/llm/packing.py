@@ -15,6 +15,7 @@ import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 1024
 #: A rest that leaves a bin of its class at most this many tokens short stays whole.
 SLACK = 4
 TREE = 64
+#: tiktoken's pattern overflows its stack on white space of a million characters, so runs far below that go to the tokenizers library.
+BLANK = 50_000
 VOCABULARY = "byte_bpe_50k.json"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, worker long"
@@ -54,6 +60,31 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def library(vocabulary: str) -> Tokenizer:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+
+def has_long_blank(text: str) -> bool:
+    """Whether one of the text's windows of BLANK characters is white space only: so it is with any run of 2 * BLANK - 1 or more."""
+    return any(text[at : at + BLANK].isspace() for at in range(0, len(text) - BLANK + 1, BLANK))
+
+
+def tokeniser(vocabulary: str) -> Callable[[str], list[int]]:
+    """Text of any length to the ids of the tokenizers library: by encoder(), and by the library itself where encoder() can't read on."""
+    encode = encoder(vocabulary)
+
+    def run(text: str) -> list[int]:
+        if has_long_blank(text):
+            return library(vocabulary).encode(text, add_special_tokens=False).ids
+        return encode(text)
+
+    return run
+
+
 def cuts(length: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int]]:
     """Pieces (length, class) of a document of that many tokens, in order."""
     out = [(capacity, 1)] * (length // capacity)
@@ -73,7 +104,7 @@ def _fill(capacity: int, slack: int, vocabulary: str) -> Callable[[Iterator[pa.R
     """The workers' pass: tokenise, cut, and fill bins of every class; pieces of unfilled bins come last, without a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = tokeniser(vocabulary)
         worker = TaskContext.get().partitionId()
         next_id = worker << 28
         open_bins: dict[int, list[tuple]] = {}
