@@ -12,6 +12,7 @@ packs the last of them first-fit decreasing.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -68,20 +69,48 @@ def library(vocabulary: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
 
+@lru_cache(maxsize=2)
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Contents and ids of the added tokens of a vocabulary; such as take in what is beside them aren't known here."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{vocabulary} has added tokens that aren't matched by their content alone")
+    return {x["content"]: x["id"] for x in added}
+
+
 def has_long_blank(text: str) -> bool:
     """Whether one of the text's windows of BLANK characters is white space only: so it is with any run of 2 * BLANK - 1 or more."""
     return any(text[at : at + BLANK].isspace() for at in range(0, len(text) - BLANK + 1, BLANK))
 
 
 def tokeniser(vocabulary: str) -> Callable[[str], list[int]]:
-    """Text of any length to the ids of the tokenizers library: by encoder(), and by the library itself where encoder() can't read on."""
+    """Text of any length to the ids of the tokenizers library, added tokens as one id each.
+
+    What is between added tokens goes through encoder(), and through the library itself where encoder() can't read on.
+    """
     encode = encoder(vocabulary)
+    added = added_tokens(vocabulary)
+    parts = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
 
-    def run(text: str) -> list[int]:
+    def plain(text: str) -> list[int]:
         if has_long_blank(text):
             return library(vocabulary).encode(text, add_special_tokens=False).ids
         return encode(text)
 
+    def run(text: str) -> list[int]:
+        if parts is None or not any(x in text for x in added):
+            return plain(text)
+        out: list[int] = []
+        for k, part in enumerate(parts.split(text)):
+            if k % 2:
+                out.append(added[part])
+            elif part:
+                out += plain(part)
+        return out
+
     return run
 
 

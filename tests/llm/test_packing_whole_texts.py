@@ -32,6 +32,20 @@ def test_long_blanks_are_found():
     assert not has_long_blank("x" * BLANK + " " * (BLANK - 1)) and not has_long_blank("") and not has_long_blank("a " * 3 * BLANK)
 
 
+def test_added_tokens_have_their_own_id(reference):
+    encode = tokeniser(VOCABULARY)
+    assert encode("one doc ends <|endoftext|> next") == [505, 2205, 5645, 220, 50256, 1306]
+    end = "<|endoftext|>"
+    for text in (end, end * 3, f"a{end}b", f" {end} ", f"x \n\n{end}\n\n y", f"<{end}>", "<|endoftext|", f"<|endof{end}text|>", f"  {end}{end}  z", f"a {end}" + " " * 2_000_000 + f"{end} b"):
+        assert encode(text) == reference(text), text[:80]
+
+
+def test_added_tokens_are_packed(spark, reference):
+    text = "one doc ends <|endoftext|> next"
+    ids = np.array([*reference(text), 0], dtype="<u4")
+    assert [(r.length, r.doc_tokens, r.ids_crc32) for r in pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [(7, 7, zlib.crc32(ids.tobytes()))]
+
+
 def test_a_long_blank_is_packed(spark, reference):
     text = "one" + "\n" * 1_200_000 + "two"
     got = sorted(pack(spark.createDataFrame([(1, text), (2, "three")], "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, r.start))
