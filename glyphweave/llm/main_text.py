@@ -2,7 +2,8 @@
 
 Every text node has a root-to-leaf tag path. A page's text length, punctuation, link text and node
 count are summed for each path; the two ratios per node are smoothed over paths, weighted by how much
-of their way from the root they share; fused; and paths under a threshold are dropped. Paths through
+of their way from the root they share; fused; and paths under a threshold are dropped, but for those in an article or main element of which any
+path is kept: its headings, lists and cells may be short or links. Paths through
 zones that are never article text (menus, footers, adverts, forms, comments and the like, told by
 element, role, class or id) have no weight. What is left is put out block by block in page order.
 
@@ -29,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 ZONES = frozenset("head script style nav header footer aside form button select option textarea template noscript iframe object svg math canvas audio video dialog menu title".split())
+#: Elements whose paths are kept together, if one of them is, whatever their own scores.
+SUBTREES = ("article", "main")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of a class or id that name such a zone.
 ZONE_WORDS = frozenset(
@@ -175,6 +178,12 @@ def path_scores(nodes: list[Leaf]) -> dict[tuple[str, ...], float]:
     return scores
 
 
+def _subtree(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The path of the outermost article a path lies in, or else of its main element; null outside both."""
+    at = next((k for name in SUBTREES for k, x in enumerate(path) if x == name), None)
+    return None if at is None else path[: at + 1]
+
+
 def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     """The page's article, a block a line; empty if there is none."""
     if not html:
@@ -184,9 +193,12 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     if not scores:
         return ""
     floor = threshold * max(scores.values())
+    kept = {p for p, s in scores.items() if s >= floor}
+    roots = {_subtree(p) for p in kept} - {None}
+    kept |= {p for p in scores if _subtree(p) in roots}
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if not n.zone and (scores.get(n.path, -1.0) >= floor or not n.text.strip()):
+        if not n.zone and (n.path in kept or not n.text.strip()):
             blocks.setdefault(n.block, []).append(n.text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
