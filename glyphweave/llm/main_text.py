@@ -5,7 +5,8 @@ count are summed for each path; the two ratios per node are smoothed over paths,
 of their way from the root they share; fused; and paths under a threshold are dropped, but for those in an article or main element of which any
 path is kept: its headings, lists and cells may be short or links. Paths through
 zones that are never article text (menus, footers, adverts, forms, comments and the like, told by
-element, role, class or id) have no weight. What is left is put out block by block in page order.
+element, role, class or id) have no weight; a class or id with other words among such leaves a doubt that
+its paths' scores can outweigh, and neither counts if the page's article lies in the element. What is left is put out block by block in page order.
 
 A page is decided from its own paths alone, so pages need no shuffle and very short ones no corpus.
 """
@@ -39,6 +40,17 @@ ZONE_WORDS = frozenset(
     "header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup subscription "
     "comment comments disqus replies reply discussion share sharing social related recommended pagination pager toolbar form search login".split()
 )
+#: Words beside them in a token that names a zone as a whole (ad-container, comment-list); any other word leaves it in doubt (has-sidebar, related-work).
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons column container count footer group icons inner item items left link links list main message module outer page panel post posts "
+    "primary region right secondary section site slot title top unit widgets wrap wrapper".split()
+)
+#: Words that name a zone, but a subject too where they are the id of a part of an article.
+SUBJECTS = frozenset("advertising advertisement alert consent discussion form navigation notice notices related search sharing social subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ZONE = " "
+#: What a path in an element that is in doubt weighs.
+DOUBT = 0.2
 #: Elements that an opening tag ends, innermost first, up to the elements that hold them.
 ENDS = {
     "p": (frozenset({"p"}), frozenset("article section div main body td th li blockquote nav aside footer header form fieldset button".split())),
@@ -71,30 +83,65 @@ class Leaf:
     zone: bool
 
 
-@dataclass
+@dataclass(eq=False)
 class _Open:
     name: str
     zone: bool
-    leaf_name: str = field(default="")
+    #: Whether a class or id names a zone: "" no, ZONE yes, else the token that has such a word among others.
+    said: str = field(default="")
+    chars: int = field(default=0)
+
+
+def _is_zone(name: str, attrs: list[tuple[str, str]]) -> bool:
+    """Zones told by element, role or being hidden."""
+    return name in ZONES or any(key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES for key, value in attrs)
 
 
-def _is_zone(name: str, attrs: str) -> bool:
-    if name in ZONES:
-        return True
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and ZONE_WORDS & set(_WORD.findall(value)):
-            return True
-    return False
+def _said(name: str, attrs: list[tuple[str, str]], inside: bool) -> str:
+    """What class and id say of an element, inside an article or outside of one."""
+    if name in ("html", "body", "article", "main") or name in HEADINGS:
+        return ""
+    doubt = ""
+    for key, value in attrs:
+        for token in value.split() if key in ("class", "id") else ():
+            words = set(_WORD.findall(token))
+            if not words & ZONE_WORDS:
+                continue
+            if words <= ZONE_WORDS | LAYOUT and not (key == "id" and inside and words <= SUBJECTS):
+                return ZONE
+            doubt = doubt or token
+    return doubt
+
+
+def _spared(texts: list[tuple[Leaf, tuple[_Open, ...]]]) -> set[_Open]:
+    """Elements whose class or id names a zone, though they hold the page's largest article or main element, or else most of its text."""
+    total = free = 0
+    around: dict[_Open, tuple[_Open, ...]] = {}
+    for leaf, opens in texts:
+        n = 0 if leaf.zone else len(leaf.text.strip())
+        if not n:
+            continue
+        total += n
+        free += 0 if any(x.said for x in opens) else n
+        for k, x in enumerate(opens):
+            x.chars += n
+            if x.said or x.name in SUBTREES:
+                around.setdefault(x, opens[:k])
+    spared: set[_Open] = set()
+    largest = max((x for x in around if x.name == "main"), key=lambda x: x.chars, default=None)
+    # An article beside a larger main element is a comment or a teaser.
+    articles = (x for x in around if x.name == "article" and (largest is None or largest in around[x] or x.chars > largest.chars))
+    for best in (largest, max(articles, key=lambda x: x.chars, default=None)):
+        if best is not None and best.chars >= free:
+            spared.update(x for x in around[best] if x.said)
+    if not any(x.name in SUBTREES for x in around):
+        spared.update(x for x in around if 2 * x.chars > total)
+    return spared
 
 
 def leaves(html: str) -> list[Leaf]:
     """Text nodes with their tag paths; text between the same two block borders has one block number."""
-    out: list[Leaf] = []
+    texts: list[tuple[Leaf, tuple[_Open, ...]]] = []
     stack: list[_Open] = []
     block = at = 0
     while at < len(html):
@@ -105,7 +152,7 @@ def leaves(html: str) -> list[Leaf]:
         if name is None:
             if token.startswith(("<!", "<?")):
                 continue
-            out.append(Leaf(tuple(x.name for x in stack if x.name not in INLINE), block, entities.unescape(token), any(x.name == "a" for x in stack), any(x.zone for x in stack)))
+            texts.append((Leaf((), block, entities.unescape(token), any(x.name == "a" for x in stack), any(x.zone for x in stack)), tuple(stack)))
             continue
         name = name.lower()
         inline = name in INLINE
@@ -117,7 +164,7 @@ def leaves(html: str) -> list[Leaf]:
                 del stack[found:]
             continue
         if name == "br":
-            out.append(Leaf(tuple(x.name for x in stack if x.name not in INLINE), block, " ", False, any(x.zone for x in stack)))
+            texts.append((Leaf((), block, " ", False, any(x.zone for x in stack)), tuple(stack)))
             continue
         if name in VOID:
             continue
@@ -128,8 +175,13 @@ def leaves(html: str) -> list[Leaf]:
             at = end.end() if end else len(html)
             continue
         if not attrs.endswith("/") or name not in ("svg", "math"):
-            stack.append(_Open(name, _is_zone(name, attrs)))
-    return out
+            named = [(key.lower(), value.strip("\"'").lower()) for key, value in _ATTR.findall(attrs)]
+            stack.append(_Open(name, _is_zone(name, named), _said(name, named, any(x.name in SUBTREES for x in stack))))
+    spared = _spared(texts) if any(x.said for _, opens in texts for x in opens) else set()
+    for leaf, opens in texts:
+        leaf.zone = leaf.zone or any(x.said == ZONE and x not in spared for x in opens)
+        leaf.path = tuple(f"{x.name}?{x.said}" if x.said and x.said != ZONE and x not in spared else x.name for x in opens if x.name not in INLINE)
+    return [leaf for leaf, _ in texts]
 
 
 def _end_open(stack: list[_Open], name: str) -> None:
@@ -174,12 +226,15 @@ def path_scores(nodes: list[Leaf]) -> dict[tuple[str, ...], float]:
         total = sum(weights.values()) or 1.0
         length = sum(w * lengths[q] for q, w in weights.items()) / total
         mark = sum(w * marks[q] for q, w in weights.items()) / total
-        scores[p] = length * (1 + mark) * (1 - 0.9 * sums[p][2] / sums[p][0])
+        scores[p] = length * (1 + mark) * (1 - 0.9 * sums[p][2] / sums[p][0]) * (DOUBT if any("?" in x for x in p) else 1)
     return scores
 
 
 def _subtree(path: tuple[str, ...]) -> tuple[str, ...] | None:
-    """The path of the outermost article a path lies in, or else of its main element; null outside both."""
+    """The path of the outermost article a path lies in, or else of its main element; null outside both. A doubtful element is one of its own."""
+    doubt = next((k for k in range(len(path) - 1, -1, -1) if "?" in path[k]), None)
+    if doubt is not None:
+        return path[: doubt + 1]
     at = next((k for name in SUBTREES for k, x in enumerate(path) if x == name), None)
     return None if at is None else path[: at + 1]
 
