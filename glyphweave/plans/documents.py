@@ -51,12 +51,21 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS markdown FROM b GROUP BY doc_id""".replace("\\\\", "\\\\"),
 )
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fx.doc_lines(spark, sf_dir).filter(~F.col("text").rlike(r"[`*~_\[\]<>\\]"))
+    return _rendered(fx.doc_lines(spark, sf_dir).filter(~F.col("text").rlike(r"[`*~_\[\]<>\\]")))
+
+
+def _rendered(lines: DataFrame) -> DataFrame:
     block = F.when(F.col("bold"), F.concat(F.lit("## "), T.markdown_escaped(F.col("text")))).when(F.col("mono"), F.concat(F.lit("- "), T.markdown_escaped(F.col("text")))).otherwise(T.markdown_escaped(F.col("text")))
     rows = lines.select("doc_id", F.struct((F.col("page") * 40 + F.col("seq")).alias("pos"), block.alias("block")).alias("b"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"]), "\n\n").alias("markdown"))
 
 
+@query("R-01 R-04 D-30 S-40")
+def render_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As render_markdown, over every line, those with characters to escape among them."""
+    return _rendered(fx.doc_lines(spark, sf_dir))
+
+
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PDF for each order: a heading, a paragraph, a list, and its lines as a ruled table with a bold header."""
     rows = fx.table_rows(spark, sf_dir).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "flag", "status", "qty"))).alias("rows"))

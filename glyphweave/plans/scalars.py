@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import table
@@ -42,6 +42,12 @@ def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.markdown_escaped(F.col("text")).alias("text"), T.fence_size(F.col("text")).alias("fence"))
 
 
+@query("F-53")
+def md_escape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As md_escape, over every text; its SQL can't tell which underscores are escaped."""
+    return _conversations(spark, sf_dir).select("conv_id", "turn", T.markdown_escaped(F.col("text")).alias("text"), T.fence_size(F.col("text")).alias("fence"))
+
+
 @query("F-50", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages WHERE html IS NOT NULL")
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
@@ -109,12 +115,25 @@ def roman_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _conversations(spark, sf_dir).filter(~F.contains("text", F.lit("\n")))
-    k, t = (F.col("conv_id") + F.col("turn")) % 5, F.col("text")
-    line = (
+    return rows.select("conv_id", "turn", T.list_record(_list_line(F.col("text"))).alias("r")).select("conv_id", "turn", "r.*")
+
+
+def _list_line(t: Column) -> Column:
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    return (
         F.when(k == 0, F.concat(F.lit("- "), t)).when(k == 1, F.concat(F.lit("  "), F.col("turn").cast("string"), F.lit(". "), t)).when(k == 2, F.concat(F.lit("    - [x] "), t))
         .when(k == 3, F.concat(F.lit("b. [ ] "), t)).otherwise(t)
     )
-    return rows.select("conv_id", "turn", T.list_record(line).alias("r")).select("conv_id", "turn", "r.*")
+
+
+def _turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+
+
+@query("F-63 F-13 D-32")
+def list_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As list_records, over every line of every turn."""
+    return _turn_lines(spark, sf_dir).select("conv_id", "turn", "i", T.list_record(_list_line(F.col("text"))).alias("r")).select("conv_id", "turn", "i", "r.*")
 
 
 @query(
@@ -123,10 +142,19 @@ def list_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, turn, length(replace(regexp_extract(line, '^((?:> ?)*)', 1), ' ', '')) AS depth, regexp_matches(trim(regexp_replace(line, '^((?:> ?)*)', '')), '^(`{3,}|~{3,})') AS fence FROM l""",
 )
 def quote_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _conversations(spark, sf_dir).filter(~F.contains("text", F.lit("\n")) & ~F.startswith("text", F.lit(">")))
+    return _quotes(_conversations(spark, sf_dir).filter(~F.contains("text", F.lit("\n")) & ~F.startswith("text", F.lit(">"))))
+
+
+def _quotes(rows: DataFrame) -> DataFrame:
     line = F.concat(F.repeat(F.lit("> "), ((F.col("conv_id") + F.col("turn")) % 4).cast("int")), F.when(F.col("turn") % 3 == 0, "```").otherwise(F.col("text")))
     content = F.trim(F.regexp_replace(line, r"^((?:> ?)*)", ""))
-    return rows.select("conv_id", "turn", T.quote_depth(line).alias("depth"), content.rlike(r"^(`{3,}|~{3,})").alias("fence"))
+    return rows.select(*[c for c in rows.columns if c != "text"], T.quote_depth(line).alias("depth"), content.rlike(r"^(`{3,}|~{3,})").alias("fence"))
+
+
+@query("F-63 D-33")
+def quote_records_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As quote_records, over every line of every turn, quotes among them."""
+    return _quotes(_turn_lines(spark, sf_dir))
 
 
 _ROWS = "'| ' || coalesce(p_name, '') || ' | ' || CASE WHEN p_partkey % 4 = 0 THEN 'a \\| b' ELSE p_brand END || ' | ' || p_size || ' |'"
