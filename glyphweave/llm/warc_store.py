@@ -8,8 +8,12 @@ payload shared by a third of all records costs one copy.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,10 @@ from .common import salted_join, stage, table, text_of
 #: Payloads below this size are stored as responses, always.
 REVISIT_FROM = 100
 CRLF = "\r\n"
+END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_PAGE = re.compile(r"<urn:page:(-?\d+):")
 
 
 @dataclass
@@ -78,32 +84,46 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.lit(CRLF),
     )
     headers = stage(joined.select("page_id", "seq", "digest", "n_bytes", "group_size", F.encode(header, "UTF-8").alias("header")), "warc-headers")
-    # One row of each digest carries the payload on: the smallest page with it. Repeated rows of that page meet in one group.
-    payload = pages.select(F.col(id_col).cast("long").alias("first_id"), F.encode(html, "UTF-8").alias("payload"), F.sha2(html, 256).alias("digest"))
-    same = firsts["digest"].eqNullSafe(payload["digest"]) & firsts["first_id"].eqNullSafe(payload["first_id"])
-    payloads = stage(payload.join(firsts, same, "inner").select(firsts["digest"], "n_bytes", "group_size", "payload").dropDuplicates(["digest"]), "warc-payloads")
+    # Copies are combined before the one exchange that payloads take; sizes then come to them by the same key.
+    payload = pages.select(F.sha2(html, 256).alias("digest"), F.encode(html, "UTF-8").alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
+    payloads = stage(payload.join(firsts.select("digest", "n_bytes", "group_size").hint("shuffle_merge"), "digest").select("digest", "n_bytes", "group_size", "payload"), "warc-payloads")
     return Archive(headers, payloads, rows)
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """The original records: page_id, record_type, refers_to, payload, payload_digest and warc, the record's exact bytes.
-
-    A payload that doesn't hash to its address, or isn't as long as recorded, fails the read.
+def _reader(with_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Put each record together, read it as a WARC file of one record, and check what it says against the payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for address, n_bytes, header, payload in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                responds = b"\r\nWARC-Type: response\r\n" in header
+                warc = header + (payload if responds else b"") + END
+                ((fields, body),) = parse_warc(warc)
+                digest = hashlib.sha256(payload).hexdigest()
+                if fields["WARC-Payload-Digest"] != f"sha256:{digest}" or digest != address or len(payload) != n_bytes or responds and body != payload:
+                    raise ValueError("a stored payload doesn't match its digest")
+                first = _PAGE.match(fields.get("WARC-Refers-To", ""))
+                out.append((len(payload), digest, fields["WARC-Type"], int(first[1]) if first else None, *((payload, warc) if with_bytes else ())))
+            cols = list(zip(*out, strict=True)) if out else [()] * (6 if with_bytes else 4)
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            names = ["page_id", "seq", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "warc"]
+            made = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))]
+            yield pa.RecordBatch.from_arrays(made, names[: len(made)])
+
+    return run
+
+
+def read_archive(archive: Archive, with_bytes: bool = True) -> DataFrame:
+    """The original records: page_id, seq, payload_bytes, payload_digest, record_type, refers_to, and with_bytes payload and warc, the record's exact bytes.
+
+    Headers meet payloads by a join; what is told of a record is read from its WARC bytes. A payload
+    that doesn't hash to its address, or isn't as long as recorded, fails the read. A payload of any
+    length is handled whole, one record at a time.
     """
     joined = salted_join(archive.headers.drop("group_size"), archive.payloads.drop("n_bytes"), ["digest"], "group_size", archive.rows, F.col("seq"))
-    head = F.decode("header", "UTF-8")
-    sound = (F.sha2("payload", 256) == F.col("digest")) & (F.octet_length("payload") == F.col("n_bytes"))
-    kind = F.regexp_extract(head, r"\r\nWARC-Type: (\w+)\r\n", 1)
-    body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select(
-        "page_id",
-        "seq",
-        kind.alias("record_type"),
-        F.regexp_extract(head, r"\r\nWARC-Refers-To: <urn:page:(-?\d+):", 1).try_cast("long").alias("refers_to"),
-        F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest"))).alias("payload"),
-        F.regexp_extract(head, r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
-        F.concat("header", body, F.lit(b"\r\n\r\n")).alias("warc"),
-    )
+    schema = "page_id long, seq long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return joined.select("page_id", "seq", "digest", "n_bytes", "header", "payload").mapInArrow(_reader(with_bytes), schema + (", payload binary, warc binary" if with_bytes else ""))
 
 
 def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -123,14 +143,7 @@ def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_archive(write_archive(table(spark, sf_dir, "pages")))
-    return back.select(
-        "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        "refers_to",
-    )
+    return read_archive(write_archive(table(spark, sf_dir, "pages")), with_bytes=False).drop("seq")
 
 
 OP8_SQL = """

@@ -53,3 +53,13 @@ def test_a_hot_payload_is_stored_once(spark):
     rows = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("h" * 150)).otherwise(F.concat(F.lit("p" * 150), F.col("id").cast("string"))).alias("html"))
     archive = write_archive(rows)
     assert archive.payloads.count() == 1 + 3333 and read_archive(archive).filter("record_type = 'revisit' AND refers_to = 0").count() == 1666
+
+
+def test_very_long_payloads_and_many_rows_without_ids(spark):
+    long = "<p>ß</p>" * 400_000
+    rows = [(1, "u", long), (2, "u", long), *((None, "u", "n" * 300) for _ in range(50))]
+    archive = write_archive(pages(spark, rows))
+    assert archive.payloads.count() == 2
+    back = read_archive(archive, with_bytes=False).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in back if r.page_id) == [(1, 3_600_000, "response", None), (2, 3_600_000, "revisit", 1)]
+    assert [r.record_type for r in back if not r.page_id].count("response") == 1
