@@ -1,22 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a root-to-leaf tag path. A page's text length, punctuation, link text and node
-count are summed for each path; the two ratios per node are smoothed over paths, weighted by how much
-of their way from the root they share; fused; and paths under a threshold are dropped, but for those in an article or main element of which any
-path is kept: its headings, lists and cells may be short or links. Paths through
-zones that are never article text (menus, footers, adverts, forms, comments and the like, told by
-element, role, class or id) have no weight; a class or id with other words among such leaves a doubt that
-its paths' scores can outweigh, and neither counts if the page's article lies in the element. What is left is put out block by block in page order.
+Every text node has a root-to-leaf tag path. The paths of a page form a tree; text length, punctuation,
+link text and node count are summed for each path and, from the leaves up, for each subtree. The two
+ratios per node are smoothed down the tree, half of a path's own subtree and half of what its parent
+has; fused; and paths below a share of the best are dropped. Element, role, class or id are a prior on
+the score: paths in an article or main element weigh more, paths through menus, footers, adverts,
+forms, comments and the like a hundredth, and where a class or id only hints at such a zone a fifth.
+An article of which any path is kept stays with all its paths, headings, lists and cells too; a zone
+or a part in doubt within it is judged by its own. What is left is put out block by block in page order.
 
 A page is decided from its own paths alone, so pages need no shuffle and very short ones no corpus.
+Reading and scoring are linear in a page's length, however deep its elements or broken its quotes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,9 @@ THRESHOLD = 0.05
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-ZONES = frozenset("head script style nav header footer aside form button select option textarea template noscript iframe object svg math canvas audio video dialog menu title".split())
+#: Elements that hold nothing of a page's text.
+SILENT = frozenset("head script style button select option textarea template noscript iframe object svg math canvas audio video title".split())
+ZONES = frozenset("nav header footer aside form dialog menu".split())
 #: Elements whose paths are kept together, if one of them is, whatever their own scores.
 SUBTREES = ("article", "main")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -49,8 +54,8 @@ LAYOUT = frozenset(
 SUBJECTS = frozenset("advertising advertisement alert consent discussion form navigation notice notices related search sharing social subscription".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ZONE = " "
-#: What a path in an element that is in doubt weighs.
-DOUBT = 0.2
+#: What a path weighs in an article or main element, in an element that is in doubt, and in a zone.
+ARTICLE, DOUBT, OUTSIDE = 4.0, 0.2, 0.01
 #: Elements that an opening tag ends, innermost first, up to the elements that hold them.
 ENDS = {
     "p": (frozenset({"p"}), frozenset("article section div main body td th li blockquote nav aside footer header form fieldset button".split())),
@@ -65,36 +70,59 @@ ENDS = {
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|[^<]+|<",
     re.DOTALL,
 )
+#: Tags of a page in which a quote runs to the end: they end at the first angle bracket.
+_BROKEN = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*)>")
+_PLAIN = re.compile(r"(?P<close>)(?P<name>(?!))|<!--.*?(?:-->|\Z)|<[!?][^>]*>?|[^<]+|<", re.DOTALL)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in RAW}
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
+class _Open:
+    """An element, and what holds for all that is in it."""
+
+    name: str
+    parent: _Open | None
+    silent: bool
+    zone: bool
+    link: bool
+    inside: bool
+    #: Whether a class or id names a zone: "" no, ZONE yes, else the token that has such a word among others.
+    said: str = ""
+    #: Whether it or an element around it is said to be a zone, or in doubt.
+    hinted: bool = False
+    chars: int = 0
+    path: int = 0
+    below: bool = False
+
+
+@dataclass(slots=True)
 class Leaf:
-    path: tuple[str, ...]
+    holder: _Open
     block: int
     text: str
-    link: bool
-    zone: bool
 
 
-@dataclass(eq=False)
-class _Open:
+@dataclass(slots=True)
+class Path:
+    """A root-to-leaf tag path: a node of the tree of a page's paths."""
+
     name: str
+    parent: int
+    prior: float
     zone: bool
-    #: Whether a class or id names a zone: "" no, ZONE yes, else the token that has such a word among others.
-    said: str = field(default="")
-    chars: int = field(default=0)
-
-
-def _is_zone(name: str, attrs: list[tuple[str, str]]) -> bool:
-    """Zones told by element, role or being hidden."""
-    return name in ZONES or any(key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES for key, value in attrs)
+    #: The path of the element with which it is kept: an article or main element, a zone, or one in doubt.
+    root: int | None
+    kind: str
+    chars: int = 0
+    marks: int = 0
+    linked: int = 0
+    nodes: int = 0
 
 
 def _said(name: str, attrs: list[tuple[str, str]], inside: bool) -> str:
@@ -113,62 +141,81 @@ def _said(name: str, attrs: list[tuple[str, str]], inside: bool) -> str:
     return doubt
 
 
-def _spared(texts: list[tuple[Leaf, tuple[_Open, ...]]]) -> set[_Open]:
-    """Elements whose class or id names a zone, though they hold the page's largest article or main element, or else most of its text."""
+def _spare(elements: list[_Open], texts: list[Leaf]) -> None:
+    """Take back what is said of elements that hold the page's largest article or main element, or else most of its text."""
     total = free = 0
-    around: dict[_Open, tuple[_Open, ...]] = {}
-    for leaf, opens in texts:
-        n = 0 if leaf.zone else len(leaf.text.strip())
-        if not n:
-            continue
+    for leaf in texts:
+        x = leaf.holder
+        n = 0 if x.silent or x.zone else len(leaf.text.strip())
         total += n
-        free += 0 if any(x.said for x in opens) else n
-        for k, x in enumerate(opens):
-            x.chars += n
-            if x.said or x.name in SUBTREES:
-                around.setdefault(x, opens[:k])
-    spared: set[_Open] = set()
-    largest = max((x for x in around if x.name == "main"), key=lambda x: x.chars, default=None)
+        free += 0 if x.hinted else n
+        x.chars += n
+    for x in reversed(elements):
+        if x.parent is not None:
+            x.parent.chars += x.chars
+    largest = max((x for x in elements if x.name == "main" and x.chars), key=lambda x: x.chars, default=None)
+    for x in elements:
+        x.below = x.parent is not None and (x.parent.below or x.parent is largest)
     # An article beside a larger main element is a comment or a teaser.
-    articles = (x for x in around if x.name == "article" and (largest is None or largest in around[x] or x.chars > largest.chars))
+    articles = (x for x in elements if x.name == "article" and x.chars and (largest is None or x.below or x.chars > largest.chars))
     for best in (largest, max(articles, key=lambda x: x.chars, default=None)):
         if best is not None and best.chars >= free:
-            spared.update(x for x in around[best] if x.said)
-    if not any(x.name in SUBTREES for x in around):
-        spared.update(x for x in around if 2 * x.chars > total)
-    return spared
+            while (best := best.parent) is not None:
+                best.said = ""
+    if not any(x.name in SUBTREES and x.chars for x in elements):
+        for x in elements:
+            if 2 * x.chars > total:
+                x.said = ""
+
+
+def read_page(html: str) -> tuple[list[_Open], list[Leaf]]:
+    """The elements of a page and its text nodes; text between the same two block borders has one block number."""
+    top = _Open("", None, False, False, False, False)
+    elements, texts, stack = [top], [], [top]
+    opened: Counter[str] = Counter()
+    block = at = 0
+    broken = False
+    closing = html.rfind(">")
 
+    def close(k: int) -> None:
+        opened.subtract(x.name for x in stack[k:])
+        del stack[k:]
 
-def leaves(html: str) -> list[Leaf]:
-    """Text nodes with their tag paths; text between the same two block borders has one block number."""
-    texts: list[tuple[Leaf, tuple[_Open, ...]]] = []
-    stack: list[_Open] = []
-    block = at = 0
     while at < len(html):
-        m = _TOKEN.match(html, at)
+        m = _TOKEN.match(html, at) if not broken else _BROKEN.match(html, at) or _PLAIN.match(html, at)
         token = m.group()
+        if token == "<" and not broken and at < closing and _BROKEN.match(html, at):
+            broken = True
+            continue
         at = m.end()
         name = m["name"]
+        if name is None and token == "<" and at > closing:
+            token, at = html[at - 1 :], len(html)  # no tag ends any more
         if name is None:
-            if token.startswith(("<!", "<?")):
-                continue
-            texts.append((Leaf((), block, entities.unescape(token), any(x.name == "a" for x in stack), any(x.zone for x in stack)), tuple(stack)))
+            if not token.startswith(("<!", "<?")):
+                texts.append(Leaf(stack[-1], block, entities.unescape(token)))
             continue
         name = name.lower()
-        inline = name in INLINE
-        if not inline and name != "br":
+        if name not in INLINE and name != "br":
             block += 1
         if m["close"]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
-            if found is not None:
-                del stack[found:]
+            if opened[name] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         if name == "br":
-            texts.append((Leaf((), block, " ", False, any(x.zone for x in stack)), tuple(stack)))
+            texts.append(Leaf(stack[-1], block, " "))
             continue
         if name in VOID:
             continue
-        _end_open(stack, name)
+        for ended, holders in ([ENDS["p"]] if name in ENDS_P else []) + ([ENDS[name]] if name in ENDS else []):
+            low, left = None, sum(opened[x] for x in ended)
+            for k in range(len(stack) - 1, 0, -1):
+                if not left or stack[k].name in holders and stack[k].name not in ended:
+                    break
+                if stack[k].name in ended:
+                    low, left = k, left - 1
+            if low is not None:
+                close(low)
         attrs = m["attrs"]
         if name in RAW:
             end = _RAW_END[name].search(html, at)
@@ -176,85 +223,90 @@ def leaves(html: str) -> list[Leaf]:
             continue
         if not attrs.endswith("/") or name not in ("svg", "math"):
             named = [(key.lower(), value.strip("\"'").lower()) for key, value in _ATTR.findall(attrs)]
-            stack.append(_Open(name, _is_zone(name, named), _said(name, named, any(x.name in SUBTREES for x in stack))))
-    spared = _spared(texts) if any(x.said for _, opens in texts for x in opens) else set()
-    for leaf, opens in texts:
-        leaf.zone = leaf.zone or any(x.said == ZONE and x not in spared for x in opens)
-        leaf.path = tuple(f"{x.name}?{x.said}" if x.said and x.said != ZONE and x not in spared else x.name for x in opens if x.name not in INLINE)
-    return [leaf for leaf, _ in texts]
-
-
-def _end_open(stack: list[_Open], name: str) -> None:
-    """End the elements whose end tag may be left out before `name`."""
-    for ended, holders in ([ENDS["p"]] if name in ENDS_P else []) + ([ENDS[name]] if name in ENDS else []):
-        low = None
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].name in ended:
-                low = k
-            elif stack[k].name in holders:
-                break
-        if low is not None:
-            del stack[low:]
-
-
-def path_scores(nodes: list[Leaf]) -> dict[tuple[str, ...], float]:
-    """The fused, smoothed ratio of every path of a page that lies in no zone."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for n in nodes:
-        text = n.text.strip()
-        if n.zone or not text:
+            hidden = any(key == "hidden" or key == "aria-hidden" and value == "true" for key, value in named)
+            zone = name in ZONES or any(key == "role" and value in ROLES for key, value in named)
+            up = stack[-1]
+            x = _Open(name, up, up.silent or hidden or name in SILENT, up.zone or zone, up.link or name == "a", up.inside or name in SUBTREES)
+            x.said = _said(name, named, up.inside)
+            x.hinted = up.hinted or bool(x.said)
+            elements.append(x)
+            stack.append(x)
+            opened[name] += 1
+    return elements, texts
+
+
+def tag_paths(elements: list[_Open], texts: list[Leaf]) -> list[Path]:
+    """The tree of a page's paths, parents first, with the sums of the text right on each path."""
+    paths = [Path("", -1, 1.0, False, None, "")]
+    known: dict[tuple[int, str, bool, str], int] = {}
+    for x in elements[1:]:
+        up = x.parent.path
+        if x.name in INLINE and not x.said:
+            x.path = up
             continue
-        s = sums.setdefault(n.path, [0, 0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(_PUNCTUATION.findall(text))
-        s[2] += len(text) if n.link else 0
-        s[3] += 1
-    lengths = {p: s[0] / s[3] for p, s in sums.items()}
-    marks = {p: s[1] / s[3] for p, s in sums.items()}
-
-    def share(p: tuple[str, ...], q: tuple[str, ...]) -> float:
-        same = 0
-        for a, b in zip(p, q, strict=False):
-            if a != b:
-                break
-            same += 1
-        return (same / max(len(p), len(q), 1)) ** 2
-
-    scores = {}
-    for p in sums:
-        weights = {q: share(p, q) for q in sums}
-        total = sum(weights.values()) or 1.0
-        length = sum(w * lengths[q] for q, w in weights.items()) / total
-        mark = sum(w * marks[q] for q, w in weights.items()) / total
-        scores[p] = length * (1 + mark) * (1 - 0.9 * sums[p][2] / sums[p][0]) * (DOUBT if any("?" in x for x in p) else 1)
-    return scores
-
-
-def _subtree(path: tuple[str, ...]) -> tuple[str, ...] | None:
-    """The path of the outermost article a path lies in, or else of its main element; null outside both. A doubtful element is one of its own."""
-    doubt = next((k for k in range(len(path) - 1, -1, -1) if "?" in path[k]), None)
-    if doubt is not None:
-        return path[: doubt + 1]
-    at = next((k for name in SUBTREES for k, x in enumerate(path) if x == name), None)
-    return None if at is None else path[: at + 1]
+        own_zone = x.said == ZONE or x.zone
+        mark = (up, x.name, own_zone, x.said)
+        if mark not in known:
+            p = paths[up]
+            n = known[mark] = len(paths)
+            prior, zone, root, kind = p.prior, p.zone or own_zone, p.root, p.kind
+            if zone and not p.zone:
+                prior, root, kind = prior * OUTSIDE, n, "zone"
+            elif x.said and not zone:
+                prior, root, kind = prior * DOUBT, n, "doubt"
+            elif x.name == "article" and kind in ("", "main") or x.name == "main" and not kind:
+                prior, root, kind = prior * (1 if kind else ARTICLE), n, x.name
+            paths.append(Path(x.name, up, prior, zone, root, kind))
+        x.path = known[mark]
+    for leaf in texts:
+        text = leaf.text.strip()
+        if text and not leaf.holder.silent:
+            p = paths[leaf.holder.path]
+            p.chars += len(text)
+            p.marks += len(_PUNCTUATION.findall(text))
+            p.linked += len(text) if leaf.holder.link else 0
+            p.nodes += 1
+    return paths
+
+
+def path_scores(paths: list[Path]) -> list[float]:
+    """The fused, smoothed ratios of every path with text on it, by its prior; 0 for the others."""
+    chars, marks, nodes = ([getattr(p, k) for p in paths] for k in ("chars", "marks", "nodes"))
+    for k in range(len(paths) - 1, 0, -1):
+        up = paths[k].parent
+        chars[up] += chars[k]
+        marks[up] += marks[k]
+        nodes[up] += nodes[k]
+    length, mark = [0.0] * len(paths), [0.0] * len(paths)
+    out = [0.0] * len(paths)
+    for k, p in enumerate(paths):
+        a, b = (chars[k] / nodes[k], marks[k] / nodes[k]) if nodes[k] else (0.0, 0.0)
+        length[k] = a if k == 0 else 0.5 * a + 0.5 * length[p.parent]
+        mark[k] = b if k == 0 else 0.5 * b + 0.5 * mark[p.parent]
+        if p.nodes:
+            out[k] = length[k] * (1 + mark[k]) * (1 - 0.9 * p.linked / p.chars) * p.prior
+    return out
 
 
 def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     """The page's article, a block a line; empty if there is none."""
     if not html:
         return ""
-    nodes = leaves(html)
-    scores = path_scores(nodes)
-    if not scores:
+    elements, texts = read_page(html)
+    if any(x.said for x in elements):
+        _spare(elements, texts)
+    paths = tag_paths(elements, texts)
+    scores = path_scores(paths)
+    best = max((s for s, p in zip(scores, paths, strict=True) if not p.zone), default=0.0)
+    if best <= 0:
         return ""
-    floor = threshold * max(scores.values())
-    kept = {p for p, s in scores.items() if s >= floor}
-    roots = {_subtree(p) for p in kept} - {None}
-    kept |= {p for p in scores if _subtree(p) in roots}
+    kept = [s > 0 and s >= threshold * best for s in scores]
+    roots = {p.root for p, k in zip(paths, kept, strict=True) if k and p.root is not None}
     blocks: dict[int, list[str]] = {}
-    for n in nodes:
-        if not n.zone and (n.path in kept or not n.text.strip()):
-            blocks.setdefault(n.block, []).append(n.text)
+    for leaf in texts:
+        x = leaf.holder
+        if not x.silent and (kept[x.path] or paths[x.path].root in roots or not leaf.text.strip()):
+            blocks.setdefault(leaf.block, []).append(leaf.text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 

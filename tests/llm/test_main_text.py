@@ -3,7 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphweave.llm.main_text import extract, leaves, main_text, path_scores
+from glyphweave.llm.main_text import extract, main_text, path_scores, read_page, tag_paths
 
 LONG = "A sentence that is long enough to weigh, with commas, and with a full stop. " * 3
 
@@ -34,8 +34,9 @@ def test_no_text():
 
 def test_link_lists_outside_zones_score_low():
     html = "<body><div><p>" + LONG + "</p><p>" + LONG + "</p></div><div><div><div><div><div><div><ul>" + "<li><a href=x>go</a></li>" * 30 + "</ul></div></div></div></div></div></div></body>"
-    scores = path_scores(leaves(html))
-    assert max(scores, key=scores.get)[-1] == "p"
+    paths = tag_paths(*read_page(html))
+    scores = path_scores(paths)
+    assert paths[scores.index(max(scores))].name == "p"
     assert main_text(html) == "\n".join([LONG.strip()] * 2)
 
 
