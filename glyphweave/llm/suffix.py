@@ -8,10 +8,7 @@ import numpy as np
 def words8(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as a big-endian number; zeros stand beyond the end."""
     padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    out = np.zeros(len(data), dtype=np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j : j + len(data)].astype(np.uint64)
-    return out
+    return np.ndarray((len(data),), dtype=">u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(data: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
@@ -25,7 +22,7 @@ def suffix_array(data: np.ndarray, first: np.ndarray | None = None) -> np.ndarra
     if n == 0:
         return np.empty(0, dtype=np.int64)
     key = words8(data) if first is None else first
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)  # the order within a group doesn't matter
     ordered = key[sa]
     heads = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     rank = np.empty(n, dtype=np.int64)
@@ -39,11 +36,11 @@ def suffix_array(data: np.ndarray, first: np.ndarray | None = None) -> np.ndarra
         # A suffix that has ended sorts first, the shorter before the longer.
         follow = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1 + h, np.maximum(n - beyond, -h) + h)
         key = group * np.int64(n + h + 2) + follow
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        sa[place] = at[order]
+        order = np.argsort(key)
+        key, at = key[order], at[order]
+        sa[place] = at
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[sa[place]] = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))]
+        rank[at] = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))]
         place = place[_unsorted(new)]
         h *= 2
     return sa

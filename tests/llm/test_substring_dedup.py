@@ -66,18 +66,40 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"key_regions": 2, "shard_bytes": 3000}, {"gram": 32, "key_regions": 5}])
+ALL = [{}, {"key_regions": 2, "shard_bytes": 3000}, {"gram": 32, "key_regions": 5}, {"passage": 400, "gram": 128, "key_regions": 2}, {"key_regions": 1, "paired": 1}, {"key_regions": 3, "paired": 2, "shard_bytes": 1}]
+
+
+@pytest.mark.parametrize("options", ALL)
 def test_against_brute_force(spark, options):
     rows = corpus(4)
     docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, key int, t1 int, data string").repartition(5)
-    got = sd.remove_repeats(docs, **options).drop("spans").collect()
+    got = sd.remove_repeats(docs, **options).drop("spans", "passages").collect()
     want = sd.brute_force(rows)
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((None if i != i or i is None else int(i), int(n), int(r), int(s), h)) for i, n, r, s, h in want.itertuples(index=False))
 
 
-def test_many_keys_of_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(sd, "BROADCAST_KEYS", 0)
-    test_against_brute_force(spark, {"key_regions": 2})
+@pytest.mark.parametrize("options", [{}, {"key_regions": 2}, {"key_regions": 1, "paired": 1}])
+def test_passages_against_brute_force(spark, options):
+    """Runs of over 50 words under strings of 256 bytes that stand in another row."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    line, short, mine = prose(60), prose(45), prose(70)
+    rows = [(k, f"{prose(rng.randint(0, 60))} {line} {prose(rng.randint(0, 60))}") for k in range(9)]
+    rows += [(10 + k, f"{prose(20)}\n{short}\n{prose(20)}") for k in range(5)] + [(20, f"{mine} {prose(30)} {mine}"), (21, None), (22, ""), (23, prose(200)), (24, prose(90)), (24, None)]
+    rows += [(30, rows[0][1]), (31, mine[:200])]
+    held: dict[bytes, set[int]] = {}
+    for k, (_, t) in enumerate(rows):
+        data = (t or "").encode()
+        for at in range(len(data) - 255):
+            held.setdefault(data[at : at + 256], set()).add(k)
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        runs = sd.covered([(at, at + 1) for at in range(len(data) - 255) if len(held[data[at : at + 256]]) > 1], 256)
+        want.append((i, [(a, b) for a, b in runs if len(data[a:b].split()) > 50]))
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options).collect()
+    assert sorted((r.doc_id, [(x.start, x.end) for x in r.passages]) for r in got) == sorted(want)
+    assert all(found for i, found in want if i < 9) and not any(found for i, found in want if 10 <= i < 30)
 
 
 def test_chunks_of_a_long_text(spark, monkeypatch):
