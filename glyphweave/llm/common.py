@@ -71,14 +71,14 @@ def text_of(column: str) -> Column:
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
-    """Join many rows to one row a key, where `one` carries in `size` how many rows of `many` have the key.
+    """Join many rows to one or a few rows a key, where `one` carries in `size` how many rows of `many` have the key.
 
     A key of over total/HOT_SHARE rows is salted: at most HOT_SHARE keys can be so large, so at most
     HOT_SHARE * SALTS rows of `one` are added, whatever the input. `spread` deals the rows of a key evenly.
     Both sides learn hotness from a broadcast list of those at most HOT_SHARE keys.
     """
     limit = max(total // HOT_SHARE, 1000)
-    hot = one.filter(F.col(size) > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    hot = one.filter(F.col(size) > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]).distinct()
     on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     cond = on[0]
     for c in on[1:]:

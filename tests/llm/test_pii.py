@@ -108,3 +108,40 @@ def test_rows_of_any_id(spark):
     got = sorted(((r.doc_id or 0), r.spans) for r in find_private(docs).collect())
     assert got == [(0, "ip:0:8"), (1, "email:0:5"), (1, "email:0:5"), (2, "")]
     assert find_private(docs.filter("false")).count() == 0
+
+
+def test_secrets_are_seeded_and_discovered(spark):
+    rng = random.Random(3)
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"{'lorem ipsum ' * (k % 4)}token = \"{token()}\" dolor{k}." for k in range(9)]
+    texts += ['amet token = "sk-live-4eC39HqLyjWDarjtT1zdp7dc" and so on', 'amet token = "none" and so', 'commit 12 "sk-live-4eC39HqLyjWDarjtT1zdp7dd" here', f"checksum {token()} alone"]
+    result = compare(spark, texts)
+    assert all(result[k].n_secret == 1 and len(spans_of(result, texts, k)[0]) == 40 for k in range(9))
+    assert spans_of(result, texts, 9) == ["sk-live-4eC39HqLyjWDarjtT1zdp7dc"]
+    assert [result[k].n_found for k in (10, 11, 12)] == [0, 0, 0]
+
+
+def test_identifiers_in_a_row_of_numbers_and_after_long_words(spark):
+    """A word of a long run is a candidate of its own, and a word of any length is a context."""
+    texts = [f"row {k} of id{k} entry 10.4.{k}.7 end" for k in range(9)]
+    texts += ["entry 2001:db8::7 77 88 99 11 22 33 44 55 end", f"{'x' * 300} 10.5.0.1", *(f"{'x' * 300} 10.5.0.{k}" for k in range(2, 9)), f"{'x' * 300} fe80::3:4"]
+    result = compare(spark, texts)
+    assert spans_of(result, texts, 9) == ["2001:db8::7"] and spans_of(result, texts, len(texts) - 1) == ["fe80::3:4"]
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    """Each value believed makes the next pattern trusted: a chain longer than a fixed number of rounds would reach."""
+    texts = [f"w0 10.0.{k}.1" for k in range(12)]
+    for step in range(6):
+        values = [f"fe80::{step}:{k}" for k in range(8)]
+        texts += [f"w{step} {v}" for v in values for _ in range(2)] + [f"w{step + 1} {v}" for v in values]
+    result = compare(spark, texts)
+    assert all(r.n_found == 1 for k, r in result.items() if k >= 12)
+
+
+def test_a_pattern_and_a_value_that_most_rows_share(spark, monkeypatch):
+    monkeypatch.setattr("glyphweave.llm.common.HOT_SHARE", 1_000_000)
+    texts = [f"call +1 555 300 {1000 + k}" for k in range(3000)] + ["call 555-0199"] * 1200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = find_private(docs)
+    assert found.filter("n_found = 1 AND n_phone = 0").count() == 1200 and found.filter("n_phone = 1 AND n_found = 0").count() == 3000
