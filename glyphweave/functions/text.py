@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What changes from page to page in a running head, and what stands around it: fixed values.
+PAGE_ROMAN = r"\b(?:page\s+)?[ivxlcdm]{1,8}\b(?=\s*$)"
+AROUND_HEADS = " -|–—•·"
+
 SAFE_SCHEMES = ("http", "https", "mailto", "tel")
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&"))
 
@@ -156,3 +160,13 @@ def field_kind(field_type: Column, flags: Column) -> Column:
 
 def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
     return F.struct(*[(1 - F.least(F.lit(1.0), x + k)).alias(n) for n, x in (("r", c), ("g", m), ("b", y))])
+
+
+def contents_entry(line: Column) -> Column:
+    """Title and page of a line of contents with leaders of two or more marks before a number or roman numeral; else both null."""
+    page = F.regexp_extract(F.trim(line), "([0-9]+|[ivxlcdmIVXLCDM]+)$", 1)
+    before = F.substring(F.trim(line), F.lit(1), F.length(F.trim(line)) - F.length(page))
+    title = F.rtrim(before, F.lit(".·… "))
+    leaders = F.replace(F.substring(before, F.length(title) + 1, F.length(before)), F.lit(" "), F.lit(""))
+    good = (page != "") & (title != "") & ((F.length(leaders) > 1) | F.contains(leaders, F.lit("…")))
+    return F.struct(F.when(good, F.trim(title)).alias("title"), F.when(good, page).alias("page"))

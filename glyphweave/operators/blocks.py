@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from statistics import median
 from typing import Any
 
+from ..functions.text import AROUND_HEADS, PAGE_ROMAN
 from ..metrics.tables import node_text
 
 BULLET = re.compile(r"^([•◦▪‣·–*-])\s+(?=\S)")
@@ -46,7 +47,7 @@ def furniture(lines: list[dict[str, Any]], heights: dict[int, float]) -> set[tup
     for x in lines:
         h = heights.get(x["page"], 792.0)
         zone = "header" if x["y1"] <= 0.15 * h else "footer" if x["y0"] >= 0.85 * h else None
-        key = re.sub(r"\s+", " ", re.sub(r"\d+", "#", re.sub(r"\b(?:page\s+)?[ivxlcdm]{1,8}\b(?=\s*$)", "#", x["text"].lower()))).strip(" -|–—•·")
+        key = re.sub(r"\s+", " ", re.sub(r"\d+", "#", re.sub(PAGE_ROMAN, "#", x["text"].lower()))).strip(AROUND_HEADS)
         if zone and key:
             seen.setdefault((zone, key), set()).add((x["page"], x["seq"]))
     out: set[tuple[int, int]] = set()

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 PAGE = ["doc_id", "page"]
 
 
@@ -57,10 +59,10 @@ def positive_median(column: str) -> Column:
 def furniture_signature(text: Column) -> Column:
     """Text with what changes from page to page (numbers, a closing roman numeral) taken out."""
     t = F.lower(text)
-    t = F.regexp_replace(t, r"\b(?:page\s+)?[ivxlcdm]{1,8}\b(?=\s*$)", "#")
+    t = F.regexp_replace(t, T.PAGE_ROMAN, "#")
     t = F.regexp_replace(t, r"[0-9]+", "#")
     t = F.regexp_replace(t, r"\s+", " ")
-    return F.regexp_replace(t, "^[ \\-|–—•·]+|[ \\-|–—•·]+$", "")
+    return F.btrim(t, F.lit(T.AROUND_HEADS))
 
 
 def repeated_furniture(lines: DataFrame, height: float, limits: Limits = LIMITS) -> DataFrame:

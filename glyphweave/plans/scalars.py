@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..functions import text as T
+from ..functions.cites import cites_column
 from .registry import query
 
 LIN = "lin AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)"
@@ -206,29 +207,31 @@ def colour_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "F-10 D-51",
-    r"""WITH t AS (SELECT n_nationkey, n_name || ' ' || repeat('.', cast(2 + n_nationkey % 5 AS INT)) || ' ' || CASE WHEN n_nationkey % 4 = 0 THEN 'xiv' ELSE cast(n_nationkey * 3 AS varchar) END AS line FROM nation)
-    SELECT n_nationkey, trim(regexp_extract(line, '^(.*?)\s*\.{2,}\s*([0-9]+|[ivxlcdm]+)\s*$', 1)) AS title, regexp_extract(line, '^(.*?)\s*\.{2,}\s*([0-9]+|[ivxlcdm]+)\s*$', 2) AS page_label, try_cast(regexp_extract(line, '^(.*?)\s*\.{2,}\s*([0-9]+|[ivxlcdm]+)\s*$', 2) AS INT) AS page FROM t""",
+    """SELECT n_nationkey, n_name AS title, CASE WHEN n_nationkey % 4 = 0 THEN 'xiv' ELSE cast(n_nationkey * 3 AS varchar) END AS page_label, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE cast(n_nationkey * 3 AS INT) END AS page FROM nation""",
 )
 def toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     line = F.concat(F.col("n_name"), F.lit(" "), F.repeat(F.lit("."), (2 + k % 5).cast("int")), F.lit(" "), F.when(k % 4 == 0, "xiv").otherwise((k * 3).cast("string")))
-    part = lambda i: F.regexp_extract(line, r"^(.*?)\s*(?:\.{2,}|·{2,}|…+)\s*([0-9]+|[ivxlcdm]+)\s*$", i)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.trim(part(1)).alias("title"), part(2).alias("page_label"), part(2).try_cast("int").alias("page"))
+    entry = T.contents_entry(line)
+    return table(spark, sf_dir, "nation").select("n_nationkey", entry["title"].alias("title"), entry["page"].alias("page_label"), entry["page"].try_cast("int").alias("page"))
+
+
+_BARE = "list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: lower(trim(w, '()[]{}.,;:\"''“”‘’!?')))"
+_WORDS = "list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
 
 
 @query(
     "F-09 F-08 D-50",
-    r"""SELECT doc_id, i, length(line) >= 8 AND (regexp_matches(line, '(?i)(\b(doi|isbn|issn)\s*:|https?://|\bwww\.)') OR regexp_matches(line, '(?i)\b(journal|proceedings|publisher|press|publication|edition|vol(ume)?\.?|issue|pages?|pp\.?|et\s+al\.?|thesis|dissertation)\b')
-      OR regexp_matches(line, '\b(1[6-9]|20)[0-9]{2}[a-z]?\b') AND length(line) - length(regexp_replace(line, '[.,;:]', '', 'g')) >= 2) AS citation
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)""",
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+    w AS (SELECT doc_id, i, line, {_WORDS} AS words, {_BARE} AS bare FROM l),
+    p AS (SELECT doc_id, i, words,
+      CASE WHEN list_has_any(bare, ['doi', 'isbn', 'issn', 'arxiv', 'urn', 'pmid']) OR len(list_filter(words, lambda w: starts_with(lower(w), 'http://') OR starts_with(lower(w), 'https://') OR starts_with(lower(w), 'www.'))) > 0 THEN 2 ELSE 0 END
+      + CASE WHEN list_has_any(bare, ['press', 'verlag', 'journal', 'proceedings', 'proc', 'conference', 'transactions', 'thesis', 'dissertation', 'university', 'publisher', 'ed', 'eds', 'vol', 'volume', 'pp', 'issue']) THEN 2 ELSE 0 END
+      + CASE WHEN len(list_filter(range(1, len(words)), lambda k: ends_with(words[k], ',') AND regexp_full_match(words[k + 1], '[A-Z][.]'))) > 0 THEN 1 ELSE 0 END
+      + CASE WHEN len(list_filter(bare, lambda w: regexp_full_match(w, '[0-9]{{4}}') AND try_cast(w AS INT) BETWEEN 1500 AND 2099)) > 0 THEN 1 ELSE 0 END
+      + CASE WHEN length(line) - length(translate(line, '.,;:', '')) > 2 THEN 1 ELSE 0 END AS points FROM w)
+    SELECT doc_id, i, length(list_aggregate(words, 'string_agg', ' ')) >= 8 AND points >= 2 AS citation FROM p""",
 )
 def citation_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    t = F.col("line")
-    marks = F.length(t) - F.length(F.regexp_replace(t, "[.,;:]", ""))
-    cite = (F.length(t) >= 8) & (
-        t.rlike(r"(?i)(\b(doi|isbn|issn)\s*:|https?://|\bwww\.)")
-        | t.rlike(r"(?i)\b(journal|proceedings|publisher|press|publication|edition|vol(ume)?\.?|issue|pages?|pp\.?|et\s+al\.?|thesis|dissertation)\b")
-        | (t.rlike(r"\b(1[6-9]|20)[0-9]{2}[a-z]?\b") & (marks >= 2))
-    )
-    return lines.select("doc_id", "i", cite.alias("citation"))
+    return lines.select("doc_id", "i", cites_column(F.col("line")).alias("citation"))

@@ -197,3 +197,29 @@ def test_bidi_loses_nothing(text):
     r = bidi.resolve(text)
     assert sorted(r.order) == [i for i, level in enumerate(r.levels) if level is not None]
     assert all(level is None or 0 <= level <= 126 for level in r.levels)
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab cé", max_size=40), st.text(alphabet="ab cé", max_size=40))
+def test_reading_similarity(a, b):
+    x, y = " ".join(a.split()), " ".join(b.split())
+    want = 2 * plain_common(x, y) / (len(x) + len(y)) if x or y else 1.0
+    assert metrics.normalised_distance(a, b) == want and metrics.normalised_distance(a, a) == 1.0
+
+
+def test_heading_similarity():
+    text = "# One\nwords here\n## Two\nmore words\n"
+    assert metrics.heading_similarity(text, text) == 1.0 and metrics.heading_similarity("no heading", text) is None
+    assert metrics.heading_tree(text, flat=False) == ("document", [("heading:one", [("text:words here", []), ("heading:two", [("text:more words", [])])])])
+    assert metrics.heading_similarity(text, "# One\nwords here\n# Two\nmore words\n") == 1.0
+    assert abs(metrics.heading_similarity(text, "# One\nwords here\n") - (1 - 2 / 5)) < 1e-12
+    assert metrics.heading_similarity(text, text.replace("more", "other"), structure=True) == 1.0 > metrics.heading_similarity(text, text.replace("more", "other"))

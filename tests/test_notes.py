@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from glyphweave.convert import convert_bytes
-from glyphweave.operators.notes import citation_like
+from glyphweave.functions.cites import cites
 from glyphweave.sources.pdf.synthetic import make_pdf, text_op
 
 BODY = "The body of the page is set in ten points and goes on"
@@ -29,7 +29,7 @@ def test_references_and_citations():
 def test_numbered_prose_under_references_stays():
     found = nodes(page(text_op(72, 740, "References", "F2", 16), text_op(72, 715, "[1] first do this"), text_op(72, 690, "[2] then do that"), *[text_op(72, 600 - 13 * k, BODY) for k in range(3)]))
     assert all(n["kind"] != "reference" for n in found)
-    assert citation_like("Doe, J. Title. 2001, pp. 3") and not citation_like("plain words here") and not citation_like("in 1999 it was") and not citation_like("x")
+    assert cites("Doe, J. Title. 2001, pp. 3") and not cites("plain words here") and not cites("in 1999 it was") and not cites("x")
 
 
 def test_footnotes_by_size_and_place():
