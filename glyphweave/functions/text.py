@@ -170,3 +170,18 @@ def contents_entry(line: Column) -> Column:
     leaders = F.replace(F.substring(before, F.length(title) + 1, F.length(before)), F.lit(" "), F.lit(""))
     good = (page != "") & (title != "") & ((F.length(leaders) > 1) | F.contains(leaders, F.lit("…")))
     return F.struct(F.when(good, F.trim(title)).alias("title"), F.when(good, page).alias("page"))
+
+
+#: Words that point at something, and what they point at.
+POINTER_KINDS = {"figure": "figure", "fig.": "figure", "table": "table", "section": "section", "sec.": "section", "equation": "equation", "eq.": "equation", "appendix": "appendix"}
+
+
+def pointers(text: Column) -> Column:
+    """Every pointing word of a text with the label after it, as written."""
+    words = "|".join(w.replace(".", "[.]").capitalize() for w in POINTER_KINDS)
+    return F.regexp_extract_all(text, F.lit(rf"((?:{words})\s+[A-Za-z0-9]+)"), 1)
+
+
+def pointer_kind(word: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for pair in POINTER_KINDS.items() for x in pair])
+    return kinds[F.lower(word)]

@@ -1,120 +1,239 @@
-"""Aggregate-shaped operators: provenance, scores, signatures, votes, gates."""
+"""Provenance, scores, signatures, votes and gates over the driver tables."""
 
 from __future__ import annotations
 
-from .shared import shared
-
-shared(
-    "provenance_merge",
-    "A-01 A-02 A-07 X-11",
-    """SELECT l_orderkey AS node, l_linenumber AS page, <<array_sort(collect_set(l_partkey))::list_sort(list(DISTINCT l_partkey))>> AS glyph_ids, <<array_sort(collect_set(l_returnflag))::list_sort(list(DISTINCT l_returnflag))>> AS region_ids,
-    <<array_sort(collect_set(l_suppkey % 7))::list_sort(list(DISTINCT l_suppkey % 7))>> AS mcids, min(l_quantity) AS x0, min(l_extendedprice) AS y0, max(l_quantity) AS x1, max(l_extendedprice) AS y1, min(1 - l_discount) AS confidence FROM lineitem GROUP BY l_orderkey, l_linenumber""",
-)
-shared(
-    "bbox_union",
-    "A-02 F-61",
-    "SELECT label, <<min(embedding[0])::min(embedding[1])>> AS x0, <<min(embedding[1])::min(embedding[2])>> AS y0, <<max(embedding[2])::max(embedding[3])>> AS x1, <<max(embedding[3])::max(embedding[4])>> AS y1, count(*) AS n FROM embeddings GROUP BY label",
-)
-shared(
-    "dominant_mode",
-    "A-05 D-18",
-    """WITH v AS (SELECT l_orderkey AS doc, l_shipdate, l_returnflag || l_linestatus AS mode FROM lineitem), c AS (SELECT doc, mode, count(*) AS n FROM v GROUP BY doc, mode),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, mode) AS k FROM c) SELECT doc, mode, n FROM r WHERE k = 1""",
-)
-# A grid of an order: the columns that a row fills depend on its quantity.
-GRID = "grid AS (SELECT table_id, row_idx, col, x0, y0, x1, y1, txt, CASE WHEN (table_id + row_idx) % 11 = 0 AND col = 1 THEN 2 ELSE 1 END AS colspan FROM table_cells WHERE NOT ((table_id + row_idx) % 11 = 0 AND col = 2))"
-shared(
-    "column_counts",
-    "A-09 D-11",
-    f"WITH {GRID} SELECT table_id, cast(max(col + colspan) AS BIGINT) AS column_count, count(DISTINCT row_idx) AS row_count, count(*) AS cells, cast(sum(colspan) AS BIGINT) AS slots FROM grid GROUP BY table_id",
-)
-shared(
-    "grid_signature",
-    "A-09",
-    f"""WITH {GRID}, box AS (SELECT table_id, min(x0) AS bx0, greatest(max(x1) - min(x0), 1) AS w FROM grid GROUP BY table_id),
-    edge AS (SELECT g.table_id, round((x0 - bx0) / w, 4) AS e FROM grid g JOIN box b ON g.table_id = b.table_id UNION SELECT g.table_id, round((x0 + 100 * colspan - bx0) / w, 4) FROM grid g JOIN box b ON g.table_id = b.table_id UNION SELECT table_id, cast(0 AS DOUBLE) FROM box UNION SELECT table_id, cast(1 AS DOUBLE) FROM box)
-    SELECT table_id, <<array_sort(collect_set(e))::list_sort(list(DISTINCT e))>> AS signature FROM edge GROUP BY table_id""",
-)
-shared(
-    "html_vs_gfm",
-    "D-15 R-02",
-    f"WITH {GRID} SELECT table_id, <<bool_or(colspan > 1)::bool_or(colspan > 1)>> AS spans, table_id % 13 = 0 AS two_headers, table_id % 17 = 0 AS row_headers, <<bool_or(colspan > 1)::bool_or(colspan > 1)>> OR table_id % 13 = 0 OR table_id % 17 = 0 AS needs_html FROM grid GROUP BY table_id",
-)
-PARAGRAPH = "para AS (SELECT doc_id, page, seq, text, y0, y1, cast(length(text) - length(<<regexp_replace(text, ' +', '')::regexp_replace(text, ' +', '', 'g')>>) AS BIGINT) + 1 AS words, substr(text, length(text), 1) IN ('.', '?', '!') AS ends FROM doc_lines)"
-shared(
-    "borderless_confidence",
-    "A-08",
-    f"""WITH {PARAGRAPH}, s AS (SELECT doc_id, page, count(*) AS n, sum(CASE WHEN ends THEN 1 ELSE 0 END) AS p, max(y1) - min(y0) AS span, count(DISTINCT words % 3) = 1 AS stable FROM para GROUP BY doc_id, page)
-    SELECT doc_id, page, CASE WHEN n < 3 THEN cast(0.55 AS DOUBLE) ELSE greatest(cast(0.5 AS DOUBLE), least(cast(0.96 AS DOUBLE), cast(0.88 AS DOUBLE) + CASE WHEN stable THEN cast(0.04 AS DOUBLE) ELSE cast(-0.1 AS DOUBLE) END - least(cast(0.18 AS DOUBLE), cast(p AS DOUBLE) / n * cast(0.25 AS DOUBLE)) - CASE WHEN span > 500 THEN cast(0.18 AS DOUBLE) ELSE cast(0 AS DOUBLE) END)) END AS confidence FROM s""",
-)
-shared(
-    "table_reject_reason",
-    "P-16 D-12 D-13",
-    rf"""WITH {PARAGRAPH}, w AS (SELECT doc_id, page, count(*) AS n, count(DISTINCT 2 + (doc_id + page) % 2 * (seq % 2)) AS widths, avg(CASE WHEN ends THEN 1 ELSE 0 END) AS sentence, <<percentile_disc(0.5) WITHIN GROUP (ORDER BY words)::quantile_disc(words, 0.5)>> AS med,
-      avg(CASE WHEN words > 8 THEN 1 ELSE 0 END) AS long_first, max(y1) - min(y0) AS span, avg(CASE WHEN <<text rlike '(19|20)[0-9][0-9]|https?://'::regexp_matches(text, '(19|20)[0-9][0-9]|https?://')>> THEN 1 ELSE 0 END) AS biblio FROM para GROUP BY doc_id, page)
-    SELECT doc_id, page, CASE WHEN n < 3 THEN 'too_few_rows' WHEN widths <> 1 THEN 'unstable_column_count' WHEN biblio >= 0.45 THEN 'bibliography_pattern' WHEN sentence >= 0.6 AND med >= 8 THEN 'article_prose' WHEN span > 500 AND sentence >= 0.35 THEN 'page_spanning_columns' WHEN long_first >= 0.5 THEN 'wrapped_prose_column' END AS reason FROM w""",
-)
-shared(
-    "panel_text_ratio",
-    "A-10",
-    """WITH t AS (SELECT l.doc_id, l.page, l.seq, length(l.text) AS chars, max(CASE WHEN (l.x0 + l.x1) / 2 BETWEEN f.x0 AND f.x1 AND (l.y0 + l.y1) / 2 BETWEEN f.y0 AND f.y1 THEN 1 ELSE 0 END) AS inside FROM doc_lines l JOIN doc_fills f ON l.doc_id = f.doc_id AND l.page = f.page GROUP BY l.doc_id, l.page, l.seq, length(l.text))
-    SELECT doc_id, page, cast(sum(chars * inside) AS DOUBLE) / sum(chars) AS ratio FROM t GROUP BY doc_id, page""",
-)
-# Scores of a document: metrics are null where it has nothing to be scored on.
-SCORES = "score AS (SELECT d.doc_id, cast(d.n_chars % 97 AS DOUBLE) / 97 AS nid, CASE WHEN l.quality IS NOT NULL THEN cast(l.quality + d.doc_id % 3 AS DOUBLE) / 4 END AS teds, CASE WHEN d.doc_id % 2 = 0 THEN cast(d.doc_id % 11 AS DOUBLE) / 11 END AS mhs FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
-OVERALL = "(coalesce(nid, 0) + coalesce(teds, 0) + coalesce(mhs, 0)) / (CASE WHEN nid IS NULL THEN 0 ELSE 1 END + CASE WHEN teds IS NULL THEN 0 ELSE 1 END + CASE WHEN mhs IS NULL THEN 0 ELSE 1 END)"
-shared("document_scores", "A-11 M-04", f"WITH {SCORES} SELECT doc_id, nid, teds, mhs, {OVERALL} AS overall FROM score")
-shared(
-    "macro_scores",
-    "A-11 M-04",
-    f"WITH {SCORES} SELECT round(avg({OVERALL}), 9) AS overall, round(avg(nid), 9) AS nid, round(avg(teds), 9) AS teds, round(avg(mhs), 9) AS mhs, count(teds) AS teds_docs, count(mhs) AS mhs_docs, count(*) AS docs FROM score",
-)
-shared(
-    "score_gate",
-    "A-12 M-04",
-    f"""WITH {SCORES}, m AS (SELECT 'nid' AS metric, avg(nid) AS v FROM score UNION ALL SELECT 'teds', avg(teds) FROM score UNION ALL SELECT 'mhs', avg(mhs) FROM score UNION ALL SELECT 'overall', avg({OVERALL}) FROM score),
-    policy AS (SELECT 'nid' AS metric, cast(0.4 AS DOUBLE) AS floor, cast(0.45 AS DOUBLE) AS base UNION ALL SELECT 'teds', cast(0.8 AS DOUBLE), cast(0.3 AS DOUBLE) UNION ALL SELECT 'mhs', cast(0.3 AS DOUBLE), cast(0.9 AS DOUBLE) UNION ALL SELECT 'overall', cast(0.1 AS DOUBLE), cast(0.1 AS DOUBLE))
-    SELECT m.metric, round(v, 9) AS value, v >= floor AS above_floor, v >= base - 0.001 AS not_worse, v >= floor AND v >= base - 0.001 AS passed FROM m JOIN policy p ON m.metric = p.metric""",
-)
-shared("summary_counts", "A-13 M-03", f"WITH {SCORES} SELECT count(*) AS documents, sum(CASE WHEN {OVERALL} >= 0.5 THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN {OVERALL} < 0.5 THEN 1 ELSE 0 END) AS failed FROM score")
-shared(
-    "inventory_digest",
-    "A-14 U-06 F-67",
-    """WITH f AS (SELECT source AS folder, 'doc-' || doc_id AS name, length(text) AS size, <<sha2(text, 256)::sha256(text)>> AS digest FROM documents WHERE text IS NOT NULL)
-    SELECT folder, count(*) AS files, cast(sum(size) AS BIGINT) AS bytes, <<sha2(listagg(name || chr(0) || size || chr(0) || digest, chr(10)) WITHIN GROUP (ORDER BY name), 256)::sha256(string_agg(name || chr(0) || size || chr(0) || digest, chr(10) ORDER BY name))>> AS inventory FROM f GROUP BY folder""",
-)
-shared("asset_names", "F-67 S-41", "SELECT page_id, 'assets/vector-' || substr(<<sha2(html, 256)::sha256(html)>>, 1, 16) || '.svg' AS asset, length(html) AS size FROM pages WHERE html IS NOT NULL")
-shared("uniform_value", "A-15 D-70", "SELECT o_custkey AS field, count(*) AS widgets, CASE WHEN count(DISTINCT o_orderstatus) = 1 AND count(o_orderstatus) = count(*) THEN max(o_orderstatus) END AS appearance FROM orders GROUP BY o_custkey")
-shared(
-    "claim_validation",
-    "A-16",
-    """WITH c AS (SELECT l_orderkey AS node, count(*) AS claims, count(DISTINCT l_partkey * 100 + l_linenumber) AS distinct_claims, count(DISTINCT l_linenumber % 2) AS pages, min(CASE WHEN l_discount > 0.09 THEN 0 ELSE 1 END) AS validated FROM lineitem GROUP BY l_orderkey)
-    SELECT node, CASE WHEN validated = 0 THEN 'unvalidated_claim' WHEN pages <> 1 THEN 'several_pages' WHEN claims <> distinct_claims THEN 'duplicate_claim' ELSE 'ok' END AS reason FROM c""",
-)
-shared(
-    "line_owner_vote",
-    "A-17",
-    """WITH v AS (SELECT l_orderkey AS line, l_returnflag AS owner, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag), r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY n DESC, owner) AS k, sum(n) OVER (PARTITION BY line) AS total, lead(n) OVER (PARTITION BY line ORDER BY n DESC, owner) AS second FROM v)
-    SELECT line, owner, cast(n AS DOUBLE) / total AS coverage, coalesce(cast(second AS DOUBLE) / total, cast(0 AS DOUBLE)) AS runner_up, cast(n AS DOUBLE) / total >= 0.9 AND coalesce(cast(second AS DOUBLE) / total, cast(0 AS DOUBLE)) <= 0.05 AS owned FROM r WHERE k = 1""",
-)
-MATCH = """exp AS (SELECT table_id, row_idx, col, 1 AS rowspan, 1 AS colspan, CASE WHEN row_idx = 0 THEN 'th' ELSE 'td' END AS role, lower(txt) AS txt FROM table_cells),
-act AS (SELECT table_id, row_idx, col, 1 AS rowspan, CASE WHEN table_id % 10 = 0 AND col = 2 THEN 2 ELSE 1 END AS colspan, CASE WHEN row_idx = 0 THEN 'th' ELSE 'td' END AS role, CASE WHEN table_id % 6 = 0 AND row_idx = 1 THEN 'x' ELSE lower(txt) END AS txt FROM table_cells)"""
-shared(
-    "cell_exact_match",
-    "M-02 U-04",
-    f"""WITH {MATCH}, d AS (SELECT coalesce(e.table_id, a.table_id) AS table_id, CASE WHEN e.txt = a.txt AND e.colspan = a.colspan AND e.rowspan = a.rowspan AND e.role = a.role THEN 0 ELSE 1 END AS wrong, CASE WHEN e.colspan = a.colspan AND e.rowspan = a.rowspan THEN 0 ELSE 1 END AS wrong_span, e.table_id AS want_id, a.table_id AS got_id
-      FROM exp e FULL JOIN act a ON e.table_id = a.table_id AND e.row_idx = a.row_idx AND e.col = a.col)
-    SELECT table_id, CASE WHEN sum(wrong) = 0 THEN 1.0 ELSE 0.0 END AS cell_exact, CASE WHEN sum(wrong_span) = 0 THEN 1.0 ELSE 0.0 END AS span_exact, count(want_id) AS expected_cells, count(got_id) AS actual_cells FROM d GROUP BY table_id""",
-)
-shared(
-    "directory_difference",
-    "U-06 U-03",
-    """WITH e AS (SELECT page_id AS path, length(html) AS size, <<sha2(html, 256)::sha256(html)>> AS sha FROM pages WHERE url NOT LIKE '%#%'), a AS (SELECT page_id AS path, length(html) AS size, <<sha2(CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END, 256)::sha256(CASE WHEN page_id % 5 = 0 THEN html || ' ' ELSE html END)>> AS sha FROM pages WHERE url NOT LIKE '%?%')
-    SELECT coalesce(e.path, a.path) AS path, CASE WHEN e.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN e.sha <> a.sha OR e.size <> a.size THEN 'changed' ELSE 'same' END AS state FROM e FULL JOIN a ON e.path = a.path""",
-)
-shared(
-    "multiset_guard",
-    "U-04 U-05",
-    """WITH a AS (SELECT doc_id, text FROM doc_lines), b AS (SELECT doc_id, text FROM doc_lines WHERE NOT (doc_id % 9 = 0 AND seq = 3)), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), n AS (SELECT doc_id, count(*) AS missing FROM x GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(n.missing, 0) AS missing, n.missing IS NULL AS equal FROM (SELECT DISTINCT doc_id FROM doc_lines) d LEFT JOIN n ON d.doc_id = n.doc_id""",
-)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..operators import admission, measures, runs
+from .against import against
+
+PAGE = ["doc_id", "page"]
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "lineitem")
+
+
+@against
+def provenance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_quantity"), F.col("l_extendedprice")
+    sources = _lineitem(spark, sf_dir).select(
+        F.col("l_orderkey").alias("node"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("glyph"), F.col("l_returnflag").alias("region"), (F.col("l_suppkey") % 7).alias("mcid"),
+        x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"), (1 - F.col("l_discount")).alias("confidence"),
+    )
+    return measures.merged_provenance(sources, ["node", "page"])
+
+
+@against
+def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = fx.table(spark, sf_dir, "embeddings").select("label", *[F.col("embedding")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    return boxes.groupBy("label").agg(*measures.box(), F.count(F.lit(1)).alias("n"))
+
+
+@against
+def dominant_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.dominant(_lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("doc"), F.concat("l_returnflag", "l_linestatus").alias("mode")), ["doc"], "mode")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of which some rows have a cell over two columns."""
+    wide = (F.col("table_id") + F.col("row_idx")) % 11 == 0
+    return fx.table_cells(spark, sf_dir).filter(~(wide & (F.col("col") == 2))).withColumn("colspan", F.when(wide & (F.col("col") == 1), 2).otherwise(1))
+
+
+@against
+def column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.column_counts(_grid(spark, sf_dir))
+
+
+@against
+def grid_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.grid_signature(_grid(spark, sf_dir), 100)
+
+
+@against
+def html_vs_gfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.needs_html(_grid(spark, sf_dir), F.col("table_id") % 13 == 0, F.col("table_id") % 17 == 0)
+
+
+@against
+def borderless_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.borderless_confidence(measures.rows_of_words(fx.doc_lines(spark, sf_dir)), PAGE)
+
+
+@against
+def table_reject_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = 2 + (F.col("doc_id") + F.col("page")) % 2 * (F.col("seq") % 2)
+    return measures.reject_reason(measures.rows_of_words(fx.doc_lines(spark, sf_dir)), PAGE, width)
+
+
+@against
+def panel_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.doc_lines(spark, sf_dir)
+    return measures.panel_text_ratio(lines, fx.doc_fills(lines))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents; some have nothing to be scored on."""
+    d = F.col("doc_id")
+    rows = fx.table(spark, sf_dir, "documents").join(fx.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.select(
+        "doc_id", ((F.col("n_chars") % 97).cast("double") / 97).alias("nid"), F.when(F.col("quality").isNotNull(), (F.col("quality") + d % 3).cast("double") / 4).alias("teds"), F.when(d % 2 == 0, (d % 11).cast("double") / 11).alias("mhs")
+    )
+
+
+@against
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).withColumn("overall", measures.overall())
+
+
+@against
+def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.macro_scores(_scores(spark, sf_dir))
+
+
+@against
+def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = spark.createDataFrame([("nid", 0.4, 0.45), ("teds", 0.8, 0.3), ("mhs", 0.3, 0.9), ("overall", 0.1, 0.1)], "metric string, floor double, base double")
+    return measures.gate(_scores(spark, sf_dir), policy)
+
+
+@against
+def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.summary(_scores(spark, sf_dir))
+
+
+@against
+def inventory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fx.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    named = files.select(F.col("source").alias("folder"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.length("text").alias("size"), F.sha2("text", 256).alias("digest"))
+    return measures.inventory(named, ["folder"])
+
+
+@against
+def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", measures.asset_name(F.col("html")).alias("asset"), F.length("html").alias("size"))
+
+
+@against
+def uniform_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.uniform(fx.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "field"), ["field"], "o_orderstatus", "appearance", "widgets")
+
+
+@against
+def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = _lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("node"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("claim"), (F.col("l_linenumber") % 2).alias("page"), (~(F.col("l_discount") > 0.09)).alias("checked"))
+    return measures.validate_claims(claims)
+
+
+@against
+def line_owner_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.vote(_lineitem(spark, sf_dir).select(F.col("l_orderkey").alias("line"), F.col("l_returnflag").alias("owner")), "line", "owner")
+
+
+@against
+def cell_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("table_id")
+    cells = fx.table_cells(spark, sf_dir)
+    read = lambda span, text: cells.select("table_id", "row_idx", "col", F.lit(1).alias("rowspan"), span.alias("colspan"), F.when(F.col("row_idx") == 0, "th").otherwise("td").alias("role"), text.alias("txt"))
+    expected = read(F.lit(1), F.lower("txt"))
+    actual = read(F.when((k % 10 == 0) & (F.col("col") == 2), 2).otherwise(1), F.when((k % 6 == 0) & (F.col("row_idx") == 1), "x").otherwise(F.lower("txt")))
+    return measures.compare_cells(expected, actual)
+
+
+@against
+def directory_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fx.table(spark, sf_dir, "pages")
+    changed = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    listed = lambda without, content: pages.filter(~F.contains("url", F.lit(without))).select(F.col("page_id").alias("path"), F.length("html").alias("size"), F.sha2(content, 256).alias("sha"))
+    return measures.directory_difference(listed("#", F.col("html")), listed("?", changed))
+
+
+@against
+def multiset_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.doc_lines(spark, sf_dir)
+    return measures.multiset_difference(lines, lines.filter(~((F.col("doc_id") % 9 == 0) & (F.col("seq") == 3))), ["doc_id"], "text")
+
+
+@against
+def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") + F.col("seq")
+    kinds = F.array(*[F.when(k % (rank + 2) == 0, F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))) for rank, kind in enumerate(admission.EVENT_CONFIDENCE, 1)])
+    events = fx.doc_lines(spark, sf_dir).select(*PAGE, "seq", F.explode(F.filter(kinds, lambda e: e.isNotNull())).alias("e")).select(*PAGE, "seq", "e.*")
+    return admission.claimed_regions(events)
+
+
+@against
+def prune_edge_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = F.col("col"), F.col("table_id")
+    left, right = (c == 0) & (k % 3 == 0), (c == 2) & (k % 5 == 0)
+    return admission.kept_columns(fx.table_cells(spark, sf_dir).select("table_id", "col", F.when(left | right, "").otherwise(F.col("txt")).alias("txt"), F.when(left, 8).when(right, 10).otherwise(200).alias("width")))
+
+
+@against
+def column_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.length("txt") * 8
+    side = (F.col("table_id") + F.col("col")) % 3
+    shift = F.when(side == 0, F.lit(4.0)).when(side == 1, 100 - w - 4).otherwise((100 - w) / 2.0)
+    return admission.alignments(fx.table_cells(spark, sf_dir).filter(F.length("txt") > 0).select("table_id", "col", (F.col("x0") + shift).alias("x"), w.alias("w"), "x0", "x1"))
+
+
+@against
+def artifact_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.recovered(fx.doc_lines(spark, sf_dir), fx.PAGE_HEIGHT)
+
+
+@against
+def tagged_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    nodes = _lineitem(spark, sf_dir).select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("node"), F.col("l_partkey").alias("k"), F.when(flag == "A", "paragraph").when(flag == "N", "heading").otherwise("list").alias("old"),
+        F.when(F.col("l_linestatus") == "F", "heading").otherwise("paragraph").alias("new"), (F.col("l_discount") * 10).alias("score"),
+    )
+    return admission.apply_tags(nodes).select("doc", "node", "k", "kind")
+
+
+@against
+def formula_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq") % 7
+    line = F.when(s == 0, "so it follows:").when(s == 1, "x = a + b").otherwise(F.col("text"))
+    return admission.formula_lead(fx.doc_lines(spark, sf_dir).select(*PAGE, "seq", line.alias("line"), "mono"))
+
+
+@against
+def strip_layout_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attrs = F.create_map(F.lit("level"), F.col("p_size").cast("string"), F.lit("_layout_html"), F.col("p_name"), F.lit("lang"), F.col("p_brand"), F.lit("_merged"), F.lit("x"))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", admission.public_attributes(attrs).alias("attrs"))
+
+
+@against
+def node_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.doc_lines(spark, sf_dir).select(*PAGE, "seq", admission.source_json((F.col("doc_id") % 97).cast("double") / 97, F.col("page"), ["x0", "y0", "x1", "y1"]).alias("json"))
+
+
+@against
+def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("sec:"), k.cast("string"))).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.concat(F.lit("gw-"), k.cast("string"))).otherwise(F.concat(F.lit("-x"), F.col("p_brand")))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", admission.safe_id(raw).alias("id"))
+
+
+@against
+def font_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("Helvetica-Bold", "CMBX10", "Times-Italic", "CourierNew", "Foo-Medium", "Source-Semibold", "DejaVuSansMono-Oblique", "Regular")
+    name = F.concat(F.lit("ABCDEF+"), F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", *[c.alias(k) for k, c in admission.font_traits(name).items()])
+
+
+@against
+def image_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = fx.doc_images(fx.doc_lines(spark, sf_dir))
+    markup = admission.image_markup(F.col("name"), (F.col("doc_id") + F.col("page")) % 3, F.col("x1") - F.col("x0"), (F.col("x0") + F.col("x1")) / 2, fx.PAGE_WIDTH / 2)
+    return images.select(*PAGE, "seq", markup.alias("markup"))
+
+
+@against
+def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.timing(fx.table(spark, sf_dir, "events"), ["event_type"], "value")
