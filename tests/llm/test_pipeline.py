@@ -1,9 +1,17 @@
 from __future__ import annotations
 
+import random
 import re
+import zlib
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from glyphweave.llm.common import shared_dir
+from glyphweave.llm.fingerprint import fingerprints
+from glyphweave.llm.language import Classifier, learn
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the and of with that from this house water street people every morning under bridge"
@@ -11,8 +19,6 @@ DE = "der und mit das von diese haus wasser strasse nicht leute jeden morgen unt
 
 
 def corpus():
-    import random
-
     rng = random.Random(3)
     rows = []
     for k in range(120):
@@ -51,7 +57,7 @@ def test_stages(spark):
 def test_redaction_of_overlapping_spans(spark):
     text = "é 0123456789 abc"
     df = spark.createDataFrame([(text, "email:2:6,ip:4:8,phone:13:16"), (text, "card:0:16")], "text string, _spans string")
-    assert [r[0] for r in df.select(cp._redacted()).collect()] == ["é [email]6789 [phone]", "[card]"]
+    assert [r[0] for r in df.select(cp._redacted("_spans")).collect()] == ["é [email]6789 [phone]", "[card]"]
 
 
 def test_run_is_registered():
@@ -60,3 +66,89 @@ def test_run_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 11))
     assert set(entry.oracle_sql()) <= names
+
+
+def plain_run(rows, content):
+    """What run() must leave, row by row: (doc_id, text). rows: doc_id, text."""
+    judge = Classifier(content)
+    rows = [(i, t) for i, t in rows if judge(t)[2]]
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        rank = (i is not None, i or 0, -k)
+        if t not in best or rank > best[t][0]:
+            best[t] = (rank, k)
+    rows = [rows[k] for k in sorted(k for _, k in best.values())]
+    prints = [int(x) for x in fingerprints([t for _, t in rows])]
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                group[root(a)] = root(b)
+    kept = {}
+    for k, (i, _) in enumerate(rows):
+        rank = (i is None, i or 0, k)
+        if root(k) not in kept or rank < kept[root(k)][0]:
+            kept[root(k)] = (rank, k)
+    rows = [rows[k] for _, k in kept.values()]
+    clean = lambda t: re.sub(r"[a-z]+@[a-z]+[.]org", "[email]", re.sub(r"10[.]0[.]0[.]\d+", "[ip]", t))
+    return [(i, clean(t)) for i, t in rows]
+
+
+def plain_pieces(rows):
+    """Of every document its id, number of tokens and the checksum of all of them."""
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    out = []
+    for i, t in rows:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        out.append((-1 if i is None else i, len(ids), ids))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_run_against_a_plain_version(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(i, t, lang) for i, t, lang in corpus() if i != 206]
+    for k in range(20):
+        i, t, lang = rng.choice(rows[:120])
+        rows.append((300 + k, t + rng.choice(["", " ", " tail", " bob@mail.org here", f" 10.0.0.{k} there"]), lang))
+    rows += [(400, ("the house of water " * 9 + "and the bridge ") * 300, "en"), (None, rows[2][1], "en"), (5, rows[5][1], "de")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, 2) for i, t, lang in rows], SCHEMA + ", _row int, _spans int").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    content = learn(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    read = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    left = plain_run(read, content)
+    got = cp.run(spark, str(tmp_path)).collect()
+    by_doc = {}
+    for p in sorted(got, key=lambda p: p.start):
+        by_doc.setdefault(-1 if p.doc_id is None else p.doc_id, []).append(p)
+    want = plain_pieces(left)
+    assert sorted(by_doc) == sorted(i for i, _, _ in want)
+    for i, n, ids in want:
+        pieces = by_doc[i]
+        assert {p.doc_tokens for p in pieces} == {n} and sum(p.length for p in pieces) == n
+        assert all(p.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[p.start : p.start + p.length])) for p in pieces)
+    assert any("[email]" in t for _, t in left) or any("[ip]" in t for _, t in left)
+
+
+def test_run_on_an_empty_table_leaves_nothing_but_its_result(spark, tmp_path):
+    from pathlib import Path
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    root = Path(shared_dir(spark)) / "glyphweave"
+    before = set(root.iterdir()) if root.exists() else set()
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    assert [p.name.split("-")[:2] for p in set(root.iterdir()) - before] == [["pipeline", "packing"]]
+
+
+def test_two_pipelines_side_by_side(spark, tmp_path):
+    """Stages of two pipelines take turns; neither removes what the other still reads."""
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in corpus()], SCHEMA)
+    one, two = (cp.exact(spark, docs, f"{tmp_path}/{k}") for k in (1, 2))
+    assert one.count() == two.count() > 0
