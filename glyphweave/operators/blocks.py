@@ -199,6 +199,8 @@ def merge_continued(nodes: list[Node], heights: dict[int, float]) -> list[Node]:
 
 def build(rows: list[dict[str, Any]]) -> list[Node]:
     """Nodes of a document's rows (kinds page, line, glyph, segment, image), in reading order."""
+    from .borderless import borderless_tables
+
     pages = {r["page"]: r for r in rows if r["kind"] == "page"}
     heights = {p: r["y1"] for p, r in pages.items()}
     lines = [r for r in rows if r["kind"] == "line"]
@@ -210,6 +212,9 @@ def build(rows: list[dict[str, Any]]) -> list[Node]:
         tables = ruled_tables([r for r in rows if r["kind"] == "segment" and r["page"] == page], glyphs)
         held = {g for t in tables for g in t.attrs.pop("glyphs")}
         free = [x for x in lines if x["page"] == page and (page, x["seq"]) not in gone and not set(x["glyphs"]) <= held]
+        if not _columns(free, pages[page]["x1"]):
+            found, taken = borderless_tables(free)
+            tables, free = tables + found, [x for x in free if x["seq"] not in taken]
         blocks = [(t.attrs["bbox"][1], t) for t in tables]
         blocks += [(r["y0"], Node("image", attrs={"name": r.get("name"), "sha256": r.get("sha256"), "bbox": [r["x0"], r["y0"], r["x1"], r["y1"]]}, confidence=0.88, evidence=["image_xobject"])) for r in rows if r["kind"] == "image" and r["page"] == page]
         blocks += _text_blocks(_ordered(free, pages[page]["x1"]), body)

@@ -21,7 +21,12 @@ from .registry import query
 
 
 
-@query("J-12 F-61 D-60", None)
+@query(
+    "J-12 F-61 D-60",
+    f"""WITH {fx.LAYOUT} SELECT doc_id, page, seq FROM doc_fills
+    UNION ALL SELECT i.doc_id, i.page, i.seq + 50 FROM doc_images i LEFT JOIN doc_fills f ON i.doc_id = f.doc_id AND i.page = f.page
+    WHERE f.seq IS NULL OR greatest(0, least(f.x1, i.x1) - greatest(f.x0, i.x0)) * greatest(0, least(f.y1, i.y1) - greatest(f.y0, i.y0)) / least((f.x1 - f.x0) * (f.y1 - f.y0), (i.x1 - i.x0) * (i.y1 - i.y0)) < 0.5""",
+)
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each page that overlap none kept before them."""
     lines = fx.doc_lines(spark, sf_dir)
@@ -48,7 +53,14 @@ def position_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.by_page(fx.doc_lines(spark, sf_dir), ["doc_id", "page"], fold, "doc_id long, page long, clusters long, largest long, groups long")
 
 
-@query("J-17", None)
+@query(
+    "J-17",
+    """WITH RECURSIVE nodes AS (SELECT l_orderkey, l_linenumber, list(DISTINCT l_partkey % 6) AS keys FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    g AS (SELECT l_orderkey, list_distinct(flatten(list(keys))) AS rest, cast([] AS INTEGER[]) AS chosen FROM nodes GROUP BY l_orderkey
+      UNION ALL SELECT l_orderkey, list_filter(rest, lambda x: NOT list_contains(keys, x)), list_append(chosen, cast(l_linenumber AS INTEGER)) FROM (
+        SELECT g.l_orderkey, g.rest, g.chosen, n.keys, n.l_linenumber, row_number() OVER (PARTITION BY g.l_orderkey ORDER BY len(list_intersect(n.keys, g.rest)) DESC, n.l_linenumber) AS k FROM g JOIN nodes n ON g.l_orderkey = n.l_orderkey WHERE len(g.rest) > 0) x WHERE k = 1)
+    SELECT l_orderkey, chosen FROM g WHERE len(rest) = 0""",
+)
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order that cover the parts of the order, greedily."""
     keys = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.array_sort(F.collect_set(F.col("l_partkey") % 6)).alias("keys"))
