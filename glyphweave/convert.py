@@ -75,7 +75,7 @@ def convert_bytes(data: bytes, options: Options = Options()) -> dict[str, Any]:
     errors = validate(flat)
     report = {
         "pages": sum(r["kind"] == "page" for r in rows), "lines": sum(r["kind"] == "line" for r in rows), "glyphs": sum(r["kind"] == "glyph" for r in rows), "images": sum(r["kind"] == "image" for r in rows),
-        "nodes": len(flat), "kinds": sorted({n["kind"] for n in flat}), "warnings": [r["text"] for r in rows if r["kind"] == "warning"], "outline": outline, "valid": not errors, "errors": errors[:8], "options": asdict(options),
+        "nodes": len(flat), "kinds": sorted({n["kind"] for n in flat}), "warnings": [r["text"] for r in rows if r["kind"] == "warning"], "outline": outline, "valid": not errors, "errors": errors, "options": asdict(options),
     }
     try:
         page = html.render(tree, meta.get("title") or "", meta.get("lang") or "")
@@ -109,7 +109,7 @@ def node_table(converted: DataFrame) -> DataFrame:
 
 
 def write(converted: DataFrame, folder: str, form: str = "both") -> None:
-    """Text sinks: md, html and json (or both for the first two) under a folder, a partition for each path."""
+    """Text sinks: md, html and json (or both for the first two) under a folder, as Parquet of path and value, so that a million documents aren't a million files."""
     kinds = {"md": ("markdown",), "html": ("html",), "json": ("nodes", "report"), "both": ("markdown", "html", "nodes", "report")}[form]
     for kind in kinds:
-        converted.select("path", F.col(kind).alias("value")).write.mode("overwrite").partitionBy("path").text(f"{folder}/{kind}")
+        converted.select("path", F.col(kind).alias("value")).write.mode("overwrite").parquet(f"{folder}/{kind}")

@@ -82,7 +82,7 @@ def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
             made = [order_sheet(k, [(r["flag"], r["status"], r["qty"]) for r in rows]) for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
-    return rows.mapInArrow(run, "path string, content binary")
+    return pdf._spread(rows, 16 * F.size("rows")).mapInArrow(run, "path string, content binary")
 
 
 def order_sheet(key: int, rows: list[tuple[str, str, str]]) -> bytes:
@@ -103,7 +103,7 @@ def order_sheet(key: int, rows: list[tuple[str, str, str]]) -> bytes:
 )
 def converted_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders set as PDFs and converted back."""
-    return convert(pdf._spread(_sheets(spark, sf_dir))).select(F.col("path").cast("long").alias("table_id"), "markdown")
+    return convert(_sheets(spark, sf_dir)).select(F.col("path").cast("long").alias("table_id"), "markdown")
 
 
 @query("D-30 P-05 P-07 F-65 S-42", None)
@@ -176,7 +176,7 @@ def borderless_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["o_custkey", "model", "n_rows", "cells"])
 
-    return pdf._spread(_customers_orders(spark, sf_dir)).mapInArrow(run, "o_custkey long, model string, n_rows long, cells string")
+    return pdf._spread(_customers_orders(spark, sf_dir), 32 * F.size("orders")).mapInArrow(run, "o_custkey long, model string, n_rows long, cells string")
 
 
 @query(

@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import table
@@ -18,9 +18,14 @@ from ..sources.pdf.reader import parse_table, read
 from .registry import query
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """Documents dealt evenly over all cores: parsing costs far more than the exchange of their text."""
-    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+#: Bytes of text or rows that a task makes PDFs of, or parses.
+TASK_BYTES = 4 << 20
+
+
+def _spread(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """Documents dealt evenly over tasks of bounded size, and over all cores at least: what is dealt out is text or keys, before it grows to PDFs."""
+    total = docs.agg(F.sum(size)).first()[0] if size is not None else None
+    return docs.repartition(max(4 * docs.sparkSession.sparkContext.defaultParallelism, (total or 0) // TASK_BYTES + 1))
 
 
 def _pdfs(docs: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def _pdfs(docs: DataFrame) -> DataFrame:
             made = [synthetic.text_pdf(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["path", "content"])
 
-    return _spread(docs).select(F.col("doc_id").cast("string").alias("path"), "text").mapInArrow(run, "path string, content binary")
+    return _spread(docs, F.octet_length("text")).select(F.col("doc_id").cast("string").alias("path"), "text").mapInArrow(run, "path string, content binary")
 
 
 @query("S-01 S-03 S-04 S-05 S-13 S-14 S-30 F-15 F-20 F-21 F-30 O-02 X-01", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL")
@@ -46,7 +51,7 @@ def pdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(" ".join(" ".join(r["text"] for r in rows).split()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return _spread(docs).mapInArrow(run, "doc_id long, text string")
+    return _spread(docs, F.octet_length("text")).mapInArrow(run, "doc_id long, text string")
 
 
 @query("S-01 S-06 S-14 P-11", None)
@@ -73,7 +78,7 @@ def filter_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     digests.append(hashlib.sha256(back[: len(data)]).hexdigest() if not warnings else "; ".join(warnings))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codecs), pa.array(digests)], ["page_id", "codec", "digest"])
 
-    return _spread(table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", "html")).mapInArrow(run, "page_id long, codec string, digest string")
+    return _spread(table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", "html"), F.octet_length("html")).mapInArrow(run, "page_id long, codec string, digest string")
 
 
 def packings(data: bytes) -> dict[str, tuple[bytes, list[str], list[dict]]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table
@@ -181,6 +181,15 @@ def levenshtein_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(p, "k").select("item_id", "p_partkey", T.edit_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 
+@query("F-07 F-06")
+def levenshtein_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation against the one before, whole texts of any script; a first turn and a null text count as empty."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before"))
+    whole = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("conv_id", "turn", "role", F.coalesce(T.edit_ratio(whole("before"), whole("text")), F.lit(0.0)).alias("ratio"))
+
+
 @query(
     "F-66 D-70 A-15",
     """WITH f AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Btn' WHEN 'F' THEN 'Ch' ELSE 'Tx' END AS ft, (o_custkey * 4099 + o_orderkey * 65537) % 33554432 AS flags FROM orders)

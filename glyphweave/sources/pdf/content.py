@@ -14,6 +14,7 @@ from .objects import END, Lexer, Name, Operator, Stream
 
 FORM_DEPTH = 12
 CONTENT_BYTES = 64 << 20
+#: Rows of a page beyond which a hostile file is read no further: fixed values. A page that meets one has a warning row.
 LIMITS = {"glyphs": 250_000, "segments": 500_000, "fills": 250_000, "paths": 250_000, "images": 50_000}
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)

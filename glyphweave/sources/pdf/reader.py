@@ -101,8 +101,12 @@ def stream_pdfs(spark: SparkSession, path: str, pages: str | None = None) -> Dat
     return parse_table(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.pdf").load(path), pages=pages)
 
 
+#: Bytes of files that one task reads, or one larger file.
+TASK_BYTES = 32 << 20
+
+
 class PdfSource(DataSource):
-    """spark.read.format("pdf").option("path", ...): local or shared folders, a partition for each file."""
+    """spark.read.format("pdf").option("path", ...): a file or folder, local or of any store that pyarrow reads (hdfs://, s3://, gs://). Small files share a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -115,16 +119,37 @@ class PdfSource(DataSource):
         return PdfReader(self.options)
 
 
+def file_system(path: str) -> tuple[Any, str]:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class PdfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.pages = options["path"], options.get("pages")
+        self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        root = Path(self.path)
-        return [InputPartition(str(p)) for p in (sorted(root.glob("**/*.pdf")) if root.is_dir() else [root])]
+        from pyarrow import fs
+
+        store, root = file_system(self.path)
+        first = store.get_file_info(root)
+        if first.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [first] if first.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith(".pdf")]
+        tasks: list[list[str]] = []
+        size = self.task_bytes
+        for f in sorted(found, key=lambda f: f.path):
+            if not tasks or size + (f.size or 0) > self.task_bytes:
+                tasks.append([])
+                size = 0
+            tasks[-1].append(f.path)
+            size += f.size or 0
+        return [InputPartition(paths) for paths in tasks]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.value, "rb") as f:
-            yield _batch(parse(f.read(), self.pages), partition.value)
+        store, _ = file_system(self.path)
+        for path in partition.value:
+            with store.open_input_file(path) as f:
+                yield _batch(parse(f.read(), self.pages), path)

@@ -195,3 +195,16 @@ def test_data_source(spark, tmp_path):
     spark.dataSource.register(PdfSource)
     rows = spark.read.format("pdf").option("path", str(tmp_path)).load()
     assert [r.text for r in rows.filter("kind = 'line'").collect()] == ["through a source"]
+
+
+def test_small_files_share_a_task(tmp_path):
+    from glyphweave.sources.pdf.reader import PdfReader
+
+    for k in range(5):
+        (tmp_path / f"{k}.pdf").write_bytes(b"x" * 40)
+    (tmp_path / "note.txt").write_text("x")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        assert [len(p.value) for p in PdfReader({"path": path, "taskbytes": "100"}).partitions()] == [2, 2, 1]
+    assert [p.value for p in PdfReader({"path": str(tmp_path / "3.pdf")}).partitions()] == [[str(tmp_path / "3.pdf")]]
+    with pytest.raises(FileNotFoundError):
+        PdfReader({"path": str(tmp_path / "none")}).partitions()

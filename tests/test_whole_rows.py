@@ -53,3 +53,47 @@ def test_render_markdown_whole(spark):
     for r in fixtures.doc_lines(spark, SF).collect():
         docs.setdefault(r.doc_id, []).append((r.page * 40 + r.seq, ("## " if r.bold else "- " if r.mono else "") + escaped(r.text)))
     assert {r.doc_id: r.markdown for r in rows_of(spark, "render_markdown_whole")} == {k: "\n\n".join(x for _, x in sorted(v)) for k, v in docs.items()}
+
+
+def test_levenshtein_turns(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+        return row[-1] / max(len(a), len(b)) if a or b else 0.0
+
+    by_conversation = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        by_conversation.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    want = []
+    for conv, turns_of in by_conversation.items():
+        for k, (turn, role, text) in enumerate(sorted(turns_of)):
+            want.append((conv, turn, role, round(plain(sorted(turns_of)[k - 1][2] if k else "", text), 9)))
+    assert sorted((r.conv_id, r.turn, r.role, round(r.ratio, 9)) for r in rows_of(spark, "levenshtein_turns")) == sorted(want)
+
+
+def test_position_clusters(spark):
+    """Counted anew: running means by sums, groups by the box so far."""
+    pages = {}
+    for r in fixtures.doc_lines(spark, SF).collect():
+        pages.setdefault((r.doc_id, r.page), []).append(r)
+    want = []
+    for key, rows in pages.items():
+        rows.sort(key=lambda r: r.seq)
+        sums, groups, box, last = [], 0, None, None
+        for r in rows:
+            at = [k for k, (s, n) in enumerate(sums) if abs(s / n - r.x0) <= 20]
+            if at:
+                sums[at[0]] = (sums[at[0]][0] + r.x0, sums[at[0]][1] + 1)
+            else:
+                sums.append((r.x0, 1))
+            far = box is not None and (max(0, box[0] - r.x1, r.x0 - box[2]) ** 2 + max(0, box[1] - r.y1, r.y0 - box[3]) ** 2) ** 0.5 > 14
+            if box is None or r.seq != last + 1 or far:
+                groups, box = groups + 1, (r.x0, r.y0, r.x1, r.y1)
+            else:
+                box = (min(box[0], r.x0), min(box[1], r.y0), max(box[2], r.x1), max(box[3], r.y1))
+            last = r.seq
+        want.append((*key, len(sums), max(n for _, n in sums), groups))
+    assert sorted((r.doc_id, r.page, r.clusters, r.largest, r.groups) for r in rows_of(spark, "position_clusters")) == sorted(want)
