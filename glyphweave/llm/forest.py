@@ -2,13 +2,17 @@
 
 A tree is a sorted array of long hash strings, one bit a random hyperplane. A query descends every
 tree to its longest-prefix matches and then ascends all trees together, one bit at a time; each step
-back widens the range of the sorted array that shares the prefix, until enough candidates are found.
-
-Vectors and queries are cut into blocks by hash. Every pair of a vector block and a query block is a
-task of bounded size with a forest of its own over its vectors, and the answers are merged by query.
-CANDIDATES is a share of the block, not a count: vectors without close neighbours need it (on
-uniform 64-dimensional ones, half of a block gives over 0.95 recall), and no query loses an answer
-because its neighbourhood is crowded. Candidates are scored exactly, in double precision.
+back widens the range of the sorted array that shares the prefix. First it ascends until FIRST
+candidates are found; their scores tell how near the k-th is, and so how short a prefix must be for a
+neighbour as near to share it in some tree with probability RECALL. There the ascent ends: after a few
+candidates where neighbours are close, after many where no prefix tells them apart. Nothing is a share
+of the data, and no query loses an answer because its neighbourhood is crowded.
+
+Vectors are dealt into blocks by the first bits of their string in the first tree, crowded prefixes
+into several, each with a forest, a centre and the largest angle to it. A query is searched in the
+blocks of its own prefix first. Another block is searched only if its centre and radius leave room for
+a vector nearer than the k-th found: on clustered data few are, whatever their number. Candidates are
+scored exactly, in double precision, and answers merged by query.
 
 Equal vectors are one entry that keeps its smallest ids: of equal scores the smaller id comes first,
 so k + 1 of them are all that a query can ever return.
@@ -16,22 +20,28 @@ so k + 1 of them are all that a query can ever return.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import salted_join, stage, table
 
 K = 5
 TREES = 96
-BITS = 32
-CANDIDATES = 0.5
+BITS = 24
+#: Candidates from which the k-th nearest is first told, and the probability with which one as near is met.
+FIRST = 64
+RECALL = 0.9
 #: Target vectors and queries of a block.
 VECTOR_BLOCK = 16_384
 QUERY_BLOCK = 4_096
+#: Summaries of blocks that are held against a block of queries at once.
+SUMMARY_BLOCK = 4_096
 SEED = 7
 
 FOUND = "query_key string, query_id long, vec_id long, score double"
@@ -59,19 +69,31 @@ class Forest:
         if want >= self.n:
             return np.arange(self.n)
         depth = self._descend(codes)
-        seen = np.zeros(self.n, dtype=bool)
         for level in range(int(depth.max()), -1, -1):
-            for t in np.flatnonzero(depth >= level):
-                lo, hi = self._range(t, codes[t], level)
-                seen[self.order[t, lo:hi]] = True
-            if np.count_nonzero(seen) >= want:
+            found = self.sharing(codes, level, depth)
+            if len(found) >= want:
                 break
-        return np.flatnonzero(seen)
+        return found
 
-    def _range(self, t: int, code: np.uint64, level: int) -> tuple[int, int]:
+    def sharing(self, codes: np.ndarray, level: int, depth: np.ndarray | None = None) -> np.ndarray:
+        """Positions of the vectors that share `level` bits or more with a query in some tree."""
+        if level <= 0:
+            return np.arange(self.n)
+        seen = np.zeros(self.n, dtype=bool)
         shift = np.uint64(self.bits - level)
-        low = (code >> shift) << shift
-        return np.searchsorted(self.sorted[t], low, "left"), np.searchsorted(self.sorted[t], low + (np.uint64(1) << shift), "left")
+        for t in range(self.trees) if depth is None else np.flatnonzero(depth >= level):
+            low = (codes[t] >> shift) << shift
+            lo, hi = np.searchsorted(self.sorted[t], (low, low + (np.uint64(1) << shift)), "left")
+            seen[self.order[t, lo:hi]] = True
+        return np.flatnonzero(seen)
+
+    def level_for(self, cosine: float, recall: float) -> int:
+        """The longest prefix that a vector at this cosine shares with the query in some tree, with probability `recall`."""
+        agree = 1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+        in_one = 1 - (1 - recall) ** (1 / self.trees)
+        if agree >= 1:
+            return self.bits
+        return min(self.bits, int(math.log(in_one) / math.log(agree))) if agree > 0 else 0
 
     def _descend(self, codes: np.ndarray) -> np.ndarray:
         """Length of the longest prefix that each tree shares with the query."""
@@ -87,7 +109,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def _search(k: int, trees: int, bits: int, share: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _search(k: int, trees: int, bits: int, recall: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(vectors) and len(queries):
@@ -95,17 +117,21 @@ def _search(k: int, trees: int, bits: int, share: float) -> Callable[[pd.DataFra
             x, q = _matrix(vectors["embedding"]), _matrix(queries["embedding"])
             length = np.sqrt((x * x).sum(axis=1))
             forest = Forest(x, trees, bits)
-            want = max(int(np.ceil(share * len(x))), 4 * k)
             codes = hash_strings(q, trees, bits)
-            ids = vectors["ids"].tolist()
-            for j, (key, query_id) in enumerate(zip(queries["query_key"], queries["query_id"], strict=True)):
-                found = forest.candidates(codes[:, j], want)
+            norm = np.sqrt((q * q).sum(axis=1))
+            ids, first = vectors["ids"].tolist(), vectors["vec_id"].to_numpy()
+            for j, (key, query_id, theta) in enumerate(zip(queries["query_key"], queries["query_id"], queries["theta"], strict=True)):
+                found = forest.candidates(codes[:, j], FIRST)
+                near = (x[found] @ q[j]) / (length[found] * norm[j])
+                near = near[first[found] != query_id]
+                kth = np.partition(near, -k)[-k] if len(near) >= k else -1.0
+                found = np.union1d(found, forest.sharing(codes[:, j], forest.level_for(max(theta, float(kth)), recall)))
                 # A matrix product finds who can be among the best; equal rows then get equal scores.
                 rough = (x[found] @ q[j]) / length[found]
                 if len(found) > k + 1:
                     floor = np.partition(rough, -(k + 1))[-(k + 1)]
                     found = found[rough >= floor - 1e-9 * (1 + abs(floor))]
-                score = (x[found] * q[j]).sum(axis=1) / (length[found] * np.sqrt((q[j] * q[j]).sum()))
+                score = (x[found] * q[j]).sum(axis=1) / (length[found] * norm[j])
                 best = sorted((-s, int(i)) for s, at in zip(score.tolist(), found.tolist(), strict=True) for i in ids[at] if i != query_id)
                 out += [(key, query_id, i, -s) for s, i in best[:k]]
         return pd.DataFrame(out, columns=["query_key", "query_id", "vec_id", "score"])
@@ -113,8 +139,55 @@ def _search(k: int, trees: int, bits: int, share: float) -> Callable[[pd.DataFra
     return run
 
 
+def _prefixes(m: int, bits: int, seed: int = SEED) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the first m bits of their string in the first tree; the embedding is the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            vectors = batch.column(batch.num_columns - 1).to_pylist()
+            prefix = np.zeros(len(vectors), dtype=np.int64)
+            dims = np.array([len(v) for v in vectors], dtype=np.int64)
+            for d in np.unique(dims).tolist():
+                if d not in planes:
+                    planes[d] = np.random.default_rng(seed).standard_normal((d, bits))[:, :m]
+                at = np.flatnonzero(dims == d)
+                hit = np.array([vectors[i] for i in at.tolist()]) @ planes[d] > 0
+                prefix[at] = (hit * (1 << np.arange(m - 1, -1, -1, dtype=np.int64))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims.astype(np.int32)), pa.array(prefix)], [*batch.schema.names, "dims", "prefix"])
+
+    return run
+
+
+BLOCK = ["dims", "prefix", "sub"]
+
+
+def _summary(rows: pd.DataFrame) -> pd.DataFrame:
+    """The centre of a block's directions and the largest angle to it."""
+    x = _matrix(rows["embedding"])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    centre = x.sum(axis=0)
+    size = np.sqrt((centre * centre).sum())
+    centre = centre / size if size > 0 else np.eye(1, x.shape[1])[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in BLOCK}, "centre": [centre.tolist()], "radius": [radius]})
+
+
+def _route(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of other prefixes that may hold a vector nearer to a query than its k-th."""
+    out = []
+    if len(queries) and len(blocks):
+        q, c = _matrix(queries["embedding"]), _matrix(blocks["centre"])
+        q /= np.sqrt((q * q).sum(axis=1))[:, None]
+        nearest = np.arccos(np.clip(q @ c.T, -1, 1)) - blocks["radius"].to_numpy()[None, :]
+        open_ = (nearest <= np.arccos(np.clip(queries["theta"].to_numpy(), -1, 1))[:, None] + 1e-6) & (queries["prefix"].to_numpy()[:, None] != blocks["prefix"].to_numpy()[None, :])
+        i, j = np.nonzero(open_)
+        out = [queries.iloc[i][["query_id", "query_key", "embedding", "theta"]].reset_index(drop=True), blocks.iloc[j][BLOCK].reset_index(drop=True)]
+    return pd.concat(out, axis=1) if out else pd.DataFrame(columns=["query_id", "query_key", "embedding", "theta", *BLOCK])
+
+
 def search(
-    rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = CANDIDATES, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK
+    rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, bits: int = BITS, recall: float = RECALL, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
     """The k nearest by cosine of each row for which is_query(id column) holds: query_id, rank, vec_id, score.
 
@@ -132,17 +205,39 @@ def search(
     # Equal vectors: ranks up to k + 1 are cut before the shuffle, so a vector held by many rows meets no single task.
     of_vector = Window.partitionBy("embedding").orderBy("vec_id")
     few = clean.withColumn("n", F.dense_rank().over(of_vector)).filter(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    entries = stage(few.select(F.element_at("ids", 1).alias("vec_id"), "ids", "embedding"), "entries")
-    asked = stage(clean.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "embedding").distinct(), "queries")
-    blocks = max(1, round(entries.count() / vector_block))
-    askers = max(1, round(asked.count() / query_block))
-    salt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    dims = F.size("embedding")
-    grid = entries.select(dims.alias("dims"), salt("vec_id", blocks).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(askers - 1))).alias("qb"), "vec_id", "ids", "embedding")
-    query = asked.select(dims.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), salt("query_id", askers).alias("qb"), "query_id", F.sha2(F.to_json("embedding"), 256).alias("query_key"), "embedding")
-    found = grid.groupBy("dims", "vb", "qb").cogroup(query.groupBy("dims", "vb", "qb")).applyInPandas(_search(k, trees, bits, share), FOUND)
-    of_query = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    distinct = stage(few.select(F.element_at("ids", 1).alias("vec_id"), "ids", "embedding"), "entries")
+    total = distinct.count()
+    m = max(0, min(bits, math.ceil(math.log2(max(1, total / vector_block)))))
+    entries = stage(distinct.mapInArrow(_prefixes(m, bits), "vec_id long, ids array<long>, embedding array<double>, dims int, prefix long"), "entries")
+    sizes = stage(entries.groupBy("dims", "prefix").agg(F.count(F.lit(1)).alias("n")).withColumn("subs", F.ceil(F.col("n") / vector_block)), "sizes")
+    sub = F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")
+    entries = stage(salted_join(entries, sizes, ["dims", "prefix"], "n", total, F.xxhash64("vec_id", F.lit(1))).withColumn("sub", sub).select(*BLOCK, "vec_id", "ids", "embedding"), "entries")
+    asked = clean.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.sha2(F.to_json("embedding"), 256).alias("query_key"), "embedding").distinct()
+    asked = stage(asked.mapInArrow(_prefixes(m, bits), "query_id long, query_key string, embedding array<double>, dims int, prefix long"), "queries")
+    query = ["query_id", "query_key"]
+    of_query = Window.partitionBy(*query).orderBy(F.col("score").desc(), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k)
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """Search each query in each block that it is paired with; a block that many queries meet is met by a block of them at a time."""
+        counts = pairs.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("q")).withColumn("parts", F.ceil(F.col("q") / query_block))
+        held = entries.join(counts, BLOCK).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("q", "parts")
+        part = F.pmod(F.xxhash64("query_id"), F.col("parts"))
+        dealt = salted_join(pairs, counts, BLOCK, "q", pairs.count(), F.xxhash64("query_id", F.lit(1))).withColumn("part", part).drop("q", "parts")
+        return held.groupBy(*BLOCK, "part").cogroup(dealt.groupBy(*BLOCK, "part")).applyInPandas(_search(k, trees, bits, recall), FOUND)
+
+    own = salted_join(asked, sizes, ["dims", "prefix"], "n", total, F.xxhash64("query_id")).withColumn("sub", F.explode(F.sequence(F.lit(0), (F.col("subs") - 1).cast("int"))))
+    first = stage(ranked(meet(stage(own.select(*query, "embedding", F.lit(-1.0).alias("theta"), *BLOCK), "pairs"))), "nearest")
+    if m == 0:
+        return first.select("query_id", "rank", "vec_id", "score")
+    kth = first.filter(F.col("rank") == k).select(*query, F.col("score").alias("theta"))
+    blocks = stage(entries.groupBy(*BLOCK).applyInPandas(_summary, "dims int, prefix long, sub int, centre array<double>, radius double"), "blocks")
+    q_groups, b_groups = max(1, -(-asked.count() // query_block)), max(1, -(-blocks.count() // SUMMARY_BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = asked.join(kth, query, "left").withColumn("theta", F.coalesce("theta", F.lit(-1.0))).withColumn("qg", F.pmod(F.xxhash64("query_id"), F.lit(q_groups)).cast("int")).withColumn("bg", each(b_groups))
+    shown = blocks.withColumn("bg", F.pmod(F.xxhash64("prefix", "sub"), F.lit(b_groups)).cast("int")).withColumn("qg", each(q_groups))
+    pairs = stage(asking.groupBy("dims", "qg", "bg").cogroup(shown.groupBy("dims", "qg", "bg")).applyInPandas(_route, "query_id long, query_key string, embedding array<double>, theta double, dims int, prefix long, sub int"), "pairs")
+    return ranked(first.drop("rank").unionByName(meet(pairs))).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

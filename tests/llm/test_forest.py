@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from glyphweave.llm.forest import Forest, exact_neighbours, hash_strings, search
+from glyphweave.llm.forest import Forest, _route, _summary, exact_neighbours, hash_strings, search
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, rank int"
 
@@ -59,3 +60,38 @@ def test_ties_go_to_smaller_ids_in_a_hot_group(spark):
     for r in search(rows.union(rows.limit(4)), lambda i: i % 300 == 0, vector_block=500).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert all([i for _, i in sorted(v)] == [i for i in range(0, 18, 3) if i != q][:5] for q, v in got.items()) and len(got) == 10
+
+
+def test_clustered_vectors(spark, monkeypatch):
+    """High recall from few candidates and few blocks."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 32))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.25 * rng.standard_normal((6000, 32))).astype(np.float32)
+    ids = np.arange(6000)
+    forest = Forest(x.astype(np.float64))
+    codes = hash_strings(x[:200].astype(np.float64))
+    want = exact_neighbours(ids, x.astype(np.float64), ids[ids % 50 == 0])
+    looked = [len(forest.sharing(codes[:, j], forest.level_for(want[j][-1][1], 0.97))) for j in range(0, 200, 50)]
+    assert max(looked) < 900
+    got: dict[int, set] = {}
+    for r in search(table(spark, ids.tolist(), x), lambda i: i % 50 == 0, vector_block=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in best}) for q, best in want.items()) / (5 * len(want)) >= 0.95
+
+
+def test_blocks_that_can_not_hold_a_nearer_vector_are_left_out():
+    rng = np.random.default_rng(6)
+    frame = lambda x, prefix: pd.DataFrame({"dims": 8, "prefix": prefix, "sub": 0, "embedding": list(x)})
+    near, far = rng.standard_normal(8), rng.standard_normal(8)
+    sets = [near + 0.05 * rng.standard_normal((50, 8)), far + 0.05 * rng.standard_normal((50, 8)), -near + 0.05 * rng.standard_normal((50, 8))]
+    blocks = pd.concat([_summary(frame(x, p)) for p, x in enumerate(sets, 1)])
+    queries = pd.DataFrame({"query_id": [1, 2], "query_key": ["a", "b"], "embedding": [near, far], "theta": [0.95, -1.0], "dims": 8, "prefix": [0, 1]})
+    assert sorted(map(tuple, _route(queries, blocks)[["query_id", "prefix"]].itertuples(index=False))) == [(1, 1), (2, 2), (2, 3)]
+
+
+def test_many_blocks_give_what_one_does(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 12)).astype(np.float32)
+    docs = table(spark, list(range(1500)), x)
+    rows = lambda **k: {(r.query_id, r.rank, r.vec_id) for r in search(docs, lambda i: i % 30 == 0, recall=1 - 1e-12, **k).collect()}
+    assert rows() == rows(vector_block=100, query_block=7)
