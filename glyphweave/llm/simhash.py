@@ -85,8 +85,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
     joined = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(joined.join(smallest, "root").select("fp", "component_id", "copies"), "classes")
+    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    classes = stage(salted_join(joined, smallest, ["root"], "members", nodes.count(), F.col("fp")).select("fp", "component_id", "copies"), "classes")
     out = salted_join(prints, classes, ["fp"], "copies", prints.count(), F.xxhash64("doc_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
