@@ -10,20 +10,32 @@ from html import escape
 from pathlib import Path
 
 from .convert import Options, convert_bytes
+from .render.overlay import BOX, COLOURS, END, HEAD, OTHER
 from .sources.pdf.reader import parse
 
-COLOURS = {"heading": "#1f77b4", "paragraph": "#7f7f7f", "list": "#2ca02c", "table": "#d62728", "image": "#9467bd"}
-
-
 def overlay(data: bytes, page: int) -> str:
-    """A page's lines as boxes."""
+    """A page's lines and images as boxes."""
     rows = parse(data, str(page))
     size = next((r for r in rows if r["kind"] == "page"), {"x1": 612.0, "y1": 792.0})
-    out = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {size["x1"]:.1f} {size["y1"]:.1f}">']
-    for r in rows:
-        if r["kind"] in ("line", "image"):
-            out.append(f'<rect x="{r["x0"]:.1f}" y="{r["y0"]:.1f}" width="{r["x1"] - r["x0"]:.1f}" height="{r["y1"] - r["y0"]:.1f}" fill="none" stroke="{COLOURS.get(r["kind"], "#1f77b4")}"><title>{escape(r["text"] or r["kind"])}</title></rect>')
-    return "\n".join([*out, "</svg>"])
+    drawn = [r for r in rows if r["kind"] in ("line", "image")]
+    boxes = [BOX % (r["x0"], r["y0"], r["x1"] - r["x0"], r["y1"] - r["y0"], COLOURS.get(r["kind"], OTHER), escape(r["text"] or r["kind"])) for r in drawn]
+    return "\n".join([HEAD % (size["x1"], size["y1"]), *boxes, END])
+
+
+def trace(data: bytes, page: int) -> list[str]:
+    """A page's lines: number, place and text."""
+    return [f'{r["seq"]:4d} {r["x0"]:7.1f} {r["y0"]:7.1f} {r["text"]}' for r in parse(data, str(page)) if r["kind"] == "line"]
+
+
+def explain(nodes: list[dict], min_confidence: float = 0.0) -> list[str]:
+    """Nodes with what speaks for them, from some confidence on."""
+    return [f'{n["node"]} page={n["page"]} kind={n["kind"]} confidence={n["confidence"]:.2f} evidence={",".join(n["evidence"])}' for n in nodes if n["confidence"] >= min_confidence]
+
+
+def changes(one: str, other: str, names: tuple[str, str] = ("a", "b")) -> list[str]:
+    """A unified diff, line ends aside; nothing for equal texts."""
+    lines = [t.replace("\r\n", "\n").splitlines() for t in (one, other)]
+    return list(difflib.unified_diff(*lines, *names, lineterm=""))
 
 
 def timed(data: bytes, options: Options) -> dict[str, float]:
@@ -46,15 +58,14 @@ def main(argv: list[str] | None = None) -> int:
     data = [Path(f).read_bytes() for f in a.files]
     options = Options(pages=a.pages)
     if a.what == "diff":
-        texts = [d.decode().replace("\r\n", "\n").splitlines() for d in data[:2]]
-        lines = list(difflib.unified_diff(*texts, *a.files[:2], lineterm=""))
+        lines = changes(data[0].decode(), data[1].decode(), (a.files[0], a.files[1]))
         print("\n".join(lines))
         return int(bool(lines))
     for d in data:
         if a.what == "overlay":
             print(overlay(d, a.page))
         elif a.what == "trace":
-            print("\n".join(f'{r["seq"]:4d} {r["x0"]:7.1f} {r["y0"]:7.1f} {r["text"]}' for r in parse(d, str(a.page)) if r["kind"] == "line"))
+            print("\n".join(trace(d, a.page)))
         elif a.what == "time":
             print(json.dumps(timed(d, options)))
         else:
@@ -62,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
             if a.what == "inspect":
                 print(json.dumps(r["report"], indent=2, sort_keys=True))
             elif a.what == "explain":
-                print("\n".join(f'{n["node"]} page={n["page"]} kind={n["kind"]} confidence={n["confidence"]:.2f} evidence={",".join(n["evidence"])}' for n in r["nodes"] if n["confidence"] >= a.min_confidence))
+                print("\n".join(explain(r["nodes"], a.min_confidence)))
             else:
                 print({"md": r["markdown"], "html": r["html"], "json": json.dumps(r["nodes"], sort_keys=True)}[a.format], end="")
             if r["error"]:

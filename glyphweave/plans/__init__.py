@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, documents, graph, joins, layout, more, pdf, scalars, windows
+from . import aggregates, documents, graph, joins, layout, more, outputs, pdf, scalars, windows
 from .registry import QUERIES, SQL, COVERS
 
-__all__ = ["COVERS", "aggregates", "documents", "graph", "joins", "more", "pdf", "scalars", "windows", "flagship", "oracle_sql", "queries"]
+__all__ = ["COVERS", "aggregates", "documents", "graph", "joins", "more", "outputs", "pdf", "scalars", "windows", "flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from .. import fixtures as fx
 from ..convert import convert
 from ..operators import blocks, figures, folds
@@ -211,12 +212,11 @@ def widget_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X-10 P-11 S-43", "SELECT n_nationkey, '   0    72.0    84.2 ' || n_name AS trace FROM nation")
 def traced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The command line's trace of a page, as a projection."""
+    """The command line's trace of a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [synthetic.make_pdf([synthetic.text_op(72, 700, n)]) for n in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+            out = ["\n".join(cli.trace(synthetic.make_pdf([synthetic.text_op(72, 700, n)]), 1)) for n in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["n_nationkey", "trace"])
 
-    rows = parse_table(fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "path string, content binary"), kinds=frozenset({"line"}))
-    return rows.select(F.col("path").cast("int").alias("n_nationkey"), F.format_string("%4d %7.1f %7.1f %s", "seq", "x0", "y0", "text").alias("trace"))
+    return fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "n_nationkey int, trace string")

@@ -249,7 +249,11 @@ def pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _structured(spark, sf_dir, "link").select("page", F.col("text").alias("uri"))
 
 
-@query("F-40 F-41 M-06", None)
+@query(
+    "F-40 F-41 M-06",
+    """WITH n AS (SELECT n_nationkey, n_name, cast(n_nationkey AS varchar) AS k FROM nation)
+    SELECT n_nationkey, n_name || ' (' || k || ' גבא) 12 دجبا' AS visual, '[' || repeat('0, ', length(n_name) + 2) || repeat('1, ', 4) || repeat('2, ', length(k)) || '0, 0, ' || repeat('1, ', 5) || '2, 2]' AS levels, length(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) < 7 AS rtl FROM n""",
+)
 def bidi_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visual order and levels of names set beside Hebrew and Arabic words."""
     from ..functions import bidi

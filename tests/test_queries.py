@@ -65,3 +65,14 @@ def test_nothing_depends_on_the_training_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [f"{node.module or ''}.{a.name}" for a in node.names] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names), path
+
+
+def test_queries_without_the_training_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    monkeypatch.setitem(sys.modules, "glyphweave.llm.registry", None)
+    assert set(entry.queries()) == set(plans.queries()) <= whole
+    assert set(entry.oracle_sql()) <= set(entry.queries())

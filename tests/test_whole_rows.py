@@ -97,3 +97,30 @@ def test_position_clusters(spark):
             last = r.seq
         want.append((*key, len(sums), max(n for _, n in sums), groups))
     assert sorted((r.doc_id, r.page, r.clusters, r.largest, r.groups) for r in rows_of(spark, "position_clusters")) == sorted(want)
+
+
+def test_character_accuracy(spark):
+    """Matching blocks by their definition: the longest common piece, first in one and then in the other, and so on at both sides of it."""
+
+    def same(a, b):
+        best = (0, 0, 0)
+        ends = {}
+        for i, x in enumerate(a):
+            new = {}
+            for j in [j for j, y in enumerate(b) if y == x]:
+                n = new[j] = ends.get(j - 1, 0) + 1
+                if n > best[0]:
+                    best = (n, i - n + 1, j - n + 1)
+            ends = new
+        n, i, j = best
+        return n + same(a[:i], b[:j]) + same(a[i + n :], b[j + n :]) if n else 0
+
+    by_conversation = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        by_conversation.setdefault(r.conv_id, []).append((r.turn, r.text))
+    want = []
+    for conv, turns_of in sorted(by_conversation.items())[:12]:
+        turns_of.sort(key=lambda t: (t[0], t[1] is not None, t[1] or ""))
+        want += [(conv, b[0], same(a[1], b[1]) / max(len(a[1]), len(b[1]))) for a, b in zip(turns_of, turns_of[1:], strict=False) if a[1] and b[1]]
+    got = {(r.conv_id, r.turn): r.accuracy for r in rows_of(spark, "character_accuracy")}
+    assert want and all(abs(got[conv, turn] - ratio) < 1e-12 for conv, turn, ratio in want)
