@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -336,3 +337,19 @@ def is_rtl(text: str) -> bool:
     """Whether characters from right to left outnumber those from left to right."""
     classes = [bidi_class(c) for c in text]
     return sum(c in ("R", "AL") for c in classes) > classes.count("L")
+
+
+def check_lines(lines: Iterable[str]) -> list[dict]:
+    """What fails of lines of the form code points; paragraph direction (0, 1, or 2 to find it); base level; levels (x for none); visual order."""
+    out = []
+    for number, line in enumerate(lines, 1):
+        if not line.strip() or line.startswith("#"):
+            continue
+        points, direction, base, levels, order = (part.strip() for part in line.split(";"))
+        found = resolve("".join(chr(int(p, 16)) for p in points.split()), None if direction == "2" else int(direction))
+        told = {"base": str(found.base), "levels": " ".join("x" if v is None else str(v) for v in found.levels), "order": " ".join(map(str, found.order))}
+        wanted = {"base": base, "levels": levels, "order": order}
+        what = next((k for k in wanted if wanted[k] != told[k]), None)
+        if what:
+            out.append({"line": number, "what": what, "wanted": wanted[what], "found": told[what]})
+    return out

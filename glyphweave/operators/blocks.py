@@ -224,23 +224,51 @@ def build(rows: list[dict[str, Any]]) -> list[Node]:
     return _continue_paragraphs(merge_continued(out, heights))
 
 
-def _columns(lines: list[dict[str, Any]], width: float) -> float | None:
-    """Where a page of two columns parts, if it does: a gutter that no line crosses, with enough lines and words on either side."""
-    if len(lines) < 8:
-        return None
-    middle = width / 2
-    left = [x for x in lines if x["x1"] <= middle + 12]
-    right = [x for x in lines if x["x0"] >= middle - 12]
-    if len(left) + len(right) < len(lines) * 0.9 or min(len(left), len(right)) < 4:
-        return None
-    words = lambda side: median([len(x["text"].split()) for x in side])
-    texts = Counter(x["text"] for x in lines)
-    return middle if min(words(left), words(right)) >= 3 and max(texts.values()) <= 2 else None
+#: A column holds lines of at most this share of the page, this many at least, and this many words in its middle one; a gutter is this wide.
+COLUMN_SHARE, COLUMN_LINES, COLUMN_WORDS, GUTTER = 0.55, 4, 3, 8.0
+
+
+def _columns(lines: list[dict[str, Any]], width: float) -> list[float]:
+    """The middles of the gutters of a page of columns, none for one of a single column.
+
+    A gutter is a band that no narrow line enters. Every column must hold enough lines of running words;
+    lines over a gutter are few, and stand for themselves.
+    """
+    narrow = sorted((x for x in lines if x["x1"] - x["x0"] <= COLUMN_SHARE * width), key=lambda x: x["x0"])
+    if len(narrow) < 2 * COLUMN_LINES or len(narrow) < 0.9 * len(lines) - 2:
+        return []
+    out, reach = [], narrow[0]["x1"]
+    for x in narrow:
+        if x["x0"] - reach >= GUTTER:
+            out.append((reach + x["x0"]) / 2)
+        reach = max(reach, x["x1"])
+    parts = [[x for x in narrow if lo <= (x["x0"] + x["x1"]) / 2 < hi] for lo, hi in zip([0.0, *out], [*out, width], strict=True)]
+    texts = Counter(x["text"] for x in narrow)
+    running = all(len(p) >= COLUMN_LINES and median([len(x["text"].split()) for x in p]) >= COLUMN_WORDS for p in parts)
+    return out if running and max(texts.values()) <= max(2, len(parts)) else []
 
 
 def _ordered(lines: list[dict[str, Any]], width: float) -> list[dict[str, Any]]:
-    parts = _columns(lines, width)
-    return sorted(lines, key=lambda x: ((x["x0"] >= parts - 12) if parts else 0, x["y0"], x["x0"], x["seq"]))
+    """Lines in reading order: column by column, between the lines that go over a gutter."""
+    gutters = _columns(lines, width)
+    place = lambda x: (x["y0"], x["x0"], x["seq"])
+    if not gutters:
+        return sorted(lines, key=place)
+    out: list[dict[str, Any]] = []
+    band: list[dict[str, Any]] = []
+
+    def flush() -> None:
+        out.extend(sorted(band, key=lambda x: (sum(g < (x["x0"] + x["x1"]) / 2 for g in gutters), *place(x))))
+        band.clear()
+
+    for x in sorted(lines, key=place):
+        if any(x["x0"] < g < x["x1"] for g in gutters):
+            flush()
+            out.append(x)
+        else:
+            band.append(x)
+    flush()
+    return out
 
 
 def _text_blocks(lines: list[dict[str, Any]], body: float) -> list[tuple[float, Node]]:

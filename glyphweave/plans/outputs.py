@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from .. import cli
 from .. import fixtures as fx
 from ..convert import convert_bytes
+from ..functions import bidi
 from ..metrics import tables as metrics
-from ..operators import figures
+from ..operators import blocks, figures
 from ..render import html, mini, overlay
 from ..sources.pdf import images, synthetic
 from ..sources.pdf.content import Interpreter
 from ..sources.pdf.document import Document
+from ..sources.pdf.reader import read
 from ..sources.pdf.structure import metadata
 from .registry import query
 
@@ -221,3 +223,40 @@ def form_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         return key, figures.form_columns([(x, 20.0 * k, x + 90, 20.0 * k + 12) for k, x in enumerate(left)])
 
     return _each(boxes, "o_custkey long, form boolean", make)
+
+
+@query(
+    "D-04 D-01 W-13",
+    """WITH n AS (SELECT n_regionkey, 'A head that goes over all of the columns of this page of region ' || n_regionkey AS head, string_agg('left ' || lower(n_name) || ' has words', ' ' ORDER BY n_nationkey) AS a, string_agg('middle ' || lower(n_name) || ' has words', ' ' ORDER BY n_nationkey) AS b,
+      string_agg('right ' || lower(n_name) || ' has words', ' ' ORDER BY n_nationkey) AS c FROM nation GROUP BY n_regionkey)
+    SELECT n_regionkey, head || ' ' || a || ' ' || b || ' ' || c AS text, 2 AS gutters FROM n""",
+)
+def three_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of three columns under a line that goes over them, read column by column."""
+    regions = fx.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.lower("n_name").alias("name")))).alias("n"))
+
+    def make(key: int, nations: list[dict]) -> tuple:
+        ops = [synthetic.text_op(60, 740, f"A head that goes over all of the columns of this page of region {key}", size=13)]
+        ops += [synthetic.text_op(x, 700 - 14 * k, f"{side} {n['name']} has words", size=8) for k, n in enumerate(nations) for side, x in (("left", 60), ("middle", 230), ("right", 400))]
+        data = synthetic.make_pdf([b"\n".join(ops)])
+        lines = [r for r in read(data, kinds=frozenset({"line"})) if r["kind"] == "line"]
+        return key, " ".join(n["text"] for n in convert_bytes(data)["nodes"]), len(blocks._columns(lines, 612.0))
+
+    return _each(regions, "n_regionkey int, text string, gutters int", make)
+
+
+@query("M-06 F-40", "SELECT n_nationkey, n_nationkey % 3 = 0 AS failed, CASE WHEN n_nationkey % 3 = 0 THEN 'levels' END AS what FROM nation")
+def bidi_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the format of the character tests (code points; paragraph; base; levels; order), every third with a wrong level: just those fail."""
+
+    def make(key: int, name: str) -> tuple:
+        text = f"{name} ({key} אב) x"
+        levels = [0] * (len(name) + 2) + [0] * len(str(key)) + [0] + [1, 1] + [0, 0, 0]
+        order = [*range(len(name) + 3 + len(str(key))), len(text) - 4, len(text) - 5, len(text) - 3, len(text) - 2, len(text) - 1]
+        if key % 3 == 0:
+            levels[0] = 2
+        line = ";".join((" ".join(f"{ord(c):04X}" for c in text), "0", "0", " ".join(map(str, levels)), " ".join(map(str, order))))
+        (fault,) = bidi.check_lines(["# a comment", "", line]) or [None]
+        return key, fault is not None, fault["what"] if fault else None
+
+    return _each(_nations(spark, sf_dir), "n_nationkey int, failed boolean, what string", make)
