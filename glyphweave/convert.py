@@ -55,7 +55,11 @@ def validate(nodes: list[dict[str, Any]]) -> list[str]:
     return out
 
 
-def convert_bytes(data: bytes, options: Options = Options()) -> dict[str, Any]:  # noqa: B008
+#: What a conversion can put out; what isn't asked for isn't made.
+OUTPUTS = frozenset({"markdown", "html", "nodes", "report"})
+
+
+def convert_bytes(data: bytes, options: Options = Options(), outputs: frozenset[str] = OUTPUTS) -> dict[str, Any]:  # noqa: B008
     """One file: markdown, html, nodes (adjacency rows), report, error."""
     rows = read(data, options.pages, USED)
     error = next((r["text"] for r in rows if r["kind"] == "error"), None)
@@ -77,23 +81,40 @@ def convert_bytes(data: bytes, options: Options = Options()) -> dict[str, Any]:
         "pages": sum(r["kind"] == "page" for r in rows), "lines": sum(r["kind"] == "line" for r in rows), "glyphs": sum(r["kind"] == "glyph" for r in rows), "images": sum(r["kind"] == "image" for r in rows),
         "nodes": len(flat), "kinds": sorted({n["kind"] for n in flat}), "warnings": [r["text"] for r in rows if r["kind"] == "warning"], "outline": outline, "valid": not errors, "errors": errors, "options": asdict(options),
     }
-    try:
-        page = html.render(tree, meta.get("title") or "", meta.get("lang") or "")
-    except (KeyError, TypeError):
-        page = html.minimal(tree)
-    return {"markdown": markdown.render(tree), "html": page, "nodes": flat, "report": report, "error": error}
+    page = None
+    if "html" in outputs:
+        try:
+            page = html.render(tree, meta.get("title") or "", meta.get("lang") or "")
+        except (KeyError, TypeError):
+            page = html.minimal(tree)
+    return {"markdown": markdown.render(tree) if "markdown" in outputs else None, "html": page, "nodes": flat, "report": report, "error": error}
+
 
+#: Converted files that go back to Spark together: so many, or so many characters.
+OUTPUT_ROWS, OUTPUT_CHARS = 256, 4 << 20
 
-def convert(files: DataFrame, path_col: str = "path", content_col: str = "content", options: Options = Options()) -> DataFrame:  # noqa: B008
-    """A row for each file of a table with a path and a binary column; a file that fails gives its error and what was read."""
+
+def convert(files: DataFrame, path_col: str = "path", content_col: str = "content", options: Options = Options(), outputs: frozenset[str] = OUTPUTS) -> DataFrame:  # noqa: B008
+    """A row for each file of a table with a path and a binary column; a file that fails gives its error and what was read. Of the outputs, those not asked for are null and aren't made."""
     ship(files.sparkSession)
+    told = lambda name, r: json.dumps(r[name], sort_keys=True) if name in outputs else None
+
+    def table_of(done: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], [c.split()[0] for c in RESULT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[list] = []
+        size = 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r = convert_bytes(content or b"", options)
-                values = [path, r["markdown"], r["html"], json.dumps(r["nodes"], sort_keys=True), json.dumps(r["report"], sort_keys=True), r["error"]]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in values], [c.split()[0] for c in RESULT.split(", ")])
+                r = convert_bytes(content or b"", options, outputs)
+                done.append([path, r["markdown"], r["html"], told("nodes", r), told("report", r), r["error"]])
+                size += sum(len(v or "") for v in done[-1])
+                if size >= OUTPUT_CHARS or len(done) >= OUTPUT_ROWS:
+                    yield table_of(done)
+                    done, size = [], 0
+        if done:
+            yield table_of(done)
 
     return files.select(F.col(path_col).cast("string"), F.col(content_col)).mapInArrow(run, RESULT)
 

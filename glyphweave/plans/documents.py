@@ -103,14 +103,14 @@ def order_sheet(key: int, rows: list[tuple[str, str, str]]) -> bytes:
 )
 def converted_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders set as PDFs and converted back."""
-    return convert(_sheets(spark, sf_dir)).select(F.col("path").cast("long").alias("table_id"), "markdown")
+    return convert(_sheets(spark, sf_dir), outputs=frozenset({"markdown"})).select(F.col("path").cast("long").alias("table_id"), "markdown")
 
 
 @query("D-30 P-05 P-07 F-65 S-42", None)
 def converted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of nodes of each document's PDF."""
     made = pdf._pdfs(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return node_table(convert(made, options=Options(heading_levels="flat"))).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("confidence"))
+    return node_table(convert(made, options=Options(heading_levels="flat"), outputs=frozenset({"nodes"}))).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("confidence"))
 
 
 def _tree(rows: list[dict], changed: bool = False) -> dict:

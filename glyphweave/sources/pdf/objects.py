@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 
@@ -43,6 +44,12 @@ _REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
 _SKIP = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*")
 _NUMBER = re.compile(rb"[+-]*(?:\d+\.?\d*|\.\d+)(?:-\d*)?\Z")
 _REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
+#: What most tokens are, with the blanks before them: plain numbers, keywords, names without escapes, and strings without escapes or brackets.
+_PLAIN = re.compile(
+    rb"""[\x00\t\n\x0c\r ]*+(?:([+-]?(?:\d++(?:\.\d*+)?+|\.\d++))(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)|([A-Za-z'"*][A-Za-z0-9'"*]*+)(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)"""
+    rb"""|/([!-"$&'*-.0-;=?-Z\\^-z|~]*+)(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)|\(([^()\\\r]*+)\))"""
+)
+_CONSTANTS = {b"true": True, b"false": False, b"null": None}
 _HEX_NAME = re.compile(rb"#([0-9A-Fa-f]{2})")
 _ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 DEPTH = 200
@@ -59,6 +66,22 @@ class Lexer:
 
     def next(self, depth: int = 0) -> Any:
         """The next object, an Operator for a keyword, or END."""
+        m = _PLAIN.match(self.data, self.at)
+        if m and depth <= DEPTH:
+            self.at = m.end()
+            kind = m.lastindex
+            word = m[kind]
+            if kind == 1:
+                if b"." in word:
+                    return float(word)
+                value = int(word)
+                if self.refs and value >= 0 and (r := _REF.match(self.data, self.at)):
+                    self.at = r.end()
+                    return Ref(value, int(r[1]))
+                return value
+            if kind == 2:
+                return _CONSTANTS[word] if word in _CONSTANTS else _operator(word)
+            return _name(word) if kind == 3 else word
         self.skip()
         data, at = self.data, self.at
         if at >= len(data):
@@ -97,7 +120,7 @@ class Lexer:
                 self.at = r.end()
                 return Ref(value, int(r[1]))
             return value
-        return {b"true": True, b"false": False, b"null": None}.get(word, Operator(word.decode("latin-1")))
+        return _CONSTANTS[word] if word in _CONSTANTS else Operator(word.decode("latin-1"))
 
     def _array(self, depth: int) -> list:
         out: list = []
@@ -153,6 +176,16 @@ class Lexer:
         return bytes(out)
 
 
+@lru_cache(maxsize=4096)
+def _operator(word: bytes) -> Operator:
+    return Operator(word.decode())
+
+
+@lru_cache(maxsize=4096)
+def _name(word: bytes) -> Name:
+    return Name(word.decode())
+
+
 def _number(word: bytes) -> int | float:
     text = word.decode()
     sign = -1 if text.startswith("-") else 1
