@@ -197,10 +197,10 @@ def score_graph(edges: DataFrame) -> DataFrame:
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_secret.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_secret, n_spans.
 
     Spans are kind:start:end in code points, end exclusive, by kind and then start; base_sha256 is of
-    the base spans, spans has those and the n_found discovered ones, n_secret of which are secrets. Null
+    the base spans, spans has those and the n_found discovered ones, n_secret of which are secrets, n_spans in all. Null
     text counts as empty; a text without spans has the digest of the empty string. Ids may be null or
     repeated: each row is judged on its own text. An empty table gives no rows. Other columns are ignored.
     """
@@ -216,7 +216,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = lambda c, i: F.expr(f"cast(size(filter({c}, x -> x.kind = {i})) as bigint)")
     counts = [count("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return all_spans.select(
-        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"), count("spans", len(KINDS)).alias("n_secret")
+        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"), count("spans", len(KINDS)).alias("n_secret"), F.size("spans").cast("long").alias("n_spans")
     )
 
 
