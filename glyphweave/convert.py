@@ -20,7 +20,7 @@ from .sources.pdf.reader import read
 RESULT = "path string, markdown string, html string, nodes string, report string, error string"
 NODE = "path string, node int, parent int, ordinal int, depth int, kind string, text string, page int, confidence double, attrs string, evidence array<string>, lines array<string>"
 KINDS = frozenset("section heading paragraph list item quote code_block table table_row table_cell image caption thematic_break note reference toc toc_item form field artifact outline".split())
-USED = frozenset({"page", "line", "glyph", "segment", "image", "outline", "metadata", "warning", "error"})
+USED = frozenset({"page", "line", "glyph", "segment", "image", "outline", "metadata", "tag", "warning", "error"})
 CONTAINERS = frozenset({"section", "list", "toc", "table", "table_row", "table_cell", "image", "thematic_break", "outline"})
 
 

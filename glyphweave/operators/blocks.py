@@ -200,11 +200,15 @@ def merge_continued(nodes: list[Node], heights: dict[int, float]) -> list[Node]:
 def build(rows: list[dict[str, Any]]) -> list[Node]:
     """Nodes of a document's rows (kinds page, line, glyph, segment, image), in reading order."""
     from .borderless import borderless_tables
+    from .tagged import line_owner, owners, reconcile
 
     pages = {r["page"]: r for r in rows if r["kind"] == "page"}
     heights = {p: r["y1"] for p, r in pages.items()}
     lines = [r for r in rows if r["kind"] == "line"]
-    gone = furniture(lines, heights)
+    tags = [r for r in rows if r["kind"] == "tag" and r.get("mcids")]
+    owned = owners(tags)
+    # What a tag owns is content, wherever it stands and however often.
+    gone = furniture(lines, heights) - {(x["page"], x["seq"]) for x in lines if owned and line_owner(x, owned) is not None}
     body = median([r["size"] for r in lines]) if lines else 10.0
     out: list[Node] = []
     for page in sorted(pages):
@@ -221,7 +225,8 @@ def build(rows: list[dict[str, Any]]) -> list[Node]:
         for _, n in sorted(blocks, key=lambda b: b[0]) if tables or len(blocks) > 1 and not _columns(free, pages[page]["x1"]) else blocks:
             n.page = page
             out.append(n)
-    return _continue_paragraphs(merge_continued(out, heights))
+    out = _continue_paragraphs(merge_continued(out, heights))
+    return reconcile(out, tags, lines) if tags else out
 
 
 #: A column holds lines of at most this share of the page, this many at least, and this many words in its middle one; a gutter is this wide.

@@ -260,3 +260,34 @@ def bidi_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
         return key, fault is not None, fault["what"] if fault else None
 
     return _each(_nations(spark, sf_dir), "n_nationkey int, failed boolean, what string", make)
+
+
+@query(
+    "D-40 J-01 J-02 J-15 J-16 P-17 S-20",
+    """SELECT n_nationkey, k.place, k.kind, CASE k.place WHEN 0 THEN 'Title ' || n_name WHEN 1 THEN 'some words of ' || n_name || ' that go on in a second line' ELSE 'said by ' || n_name END AS text
+    FROM nation, (VALUES (0, 'heading'), (1, 'paragraph'), (2, 'quote')) k(place, kind)""",
+)
+def tagged_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines that look like one paragraph, tagged as a heading, a paragraph of two and a quote: the nodes follow the tags."""
+
+    def make(key: int, name: str) -> list[tuple]:
+        marked = [(b"H2", [f"Title {name}"]), (b"P", [f"some words of {name}", "that go on in a second line"]), (b"BlockQuote", [f"said by {name}"])]
+        ops, k = [], 0
+        for m, (role, texts) in enumerate(marked):
+            for t in texts:
+                ops.append(b"/%s <</MCID %d>> BDC " % (role, m) + synthetic.text_op(72, 500 - 12 * k, t, size=10) + b" EMC")
+                k += 1
+        base = 2 + len(synthetic.FACES) + 2
+        elements = [b"<< /S /%s /P %d 0 R /Pg %d 0 R /K %d >>" % (role, base + 4, base, m) for m, (role, _) in enumerate(marked)]
+        refs = b" ".join(b"%d 0 R" % (base + 1 + m) for m in range(3))
+        tree = b"<< /Type /StructTreeRoot /K [%s] /ParentTree << /Nums [0 [%s]] >> >>" % (refs, refs)
+        data = synthetic.make_pdf([b"\n".join(ops)], extra=[*elements, tree], root=b"/MarkInfo << /Marked true >> /StructTreeRoot %d 0 R " % (base + 4), page_attrs=b"/StructParents 0 ")
+        return [(place, n["kind"], n["text"]) for place, n in enumerate(convert_bytes(data, outputs=frozenset())["nodes"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, *r) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in make(k, n)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["n_nationkey", "place", "kind", "text"])
+
+    return _nations(spark, sf_dir).mapInArrow(run, "n_nationkey int, place int, kind string, text string")
