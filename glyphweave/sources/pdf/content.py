@@ -165,7 +165,8 @@ class Interpreter:
                 self.truncated.add(kind)
                 self.doc.warn("PAGE_TRUNCATED", f"{self.page.number} {kind}")
             return
-        rows.append({"page": self.page.number, "seq": self.seq, **row})
+        row["page"], row["seq"] = self.page.number, self.seq
+        rows.append(row)
         self.seq += 1
 
     def _one(self, op: str, args: list[Any], resources: dict[str, Any], depth: int, forms: tuple[int, ...]) -> None:

@@ -18,11 +18,13 @@ def _no_space(c: str) -> bool:
 
 
 def visible(glyphs: list[dict[str, Any]]) -> list[dict[str, Any]]:
-    """Glyphs that are seen and mean something; of those drawn twice on one spot, the first."""
+    """Glyphs that are seen and mean something; of those drawn twice on one spot (to a tenth of a point), the first."""
     out, seen = [], set()
     for g in glyphs:
-        key = (g["text"], round(g["x0"], 1), round(g["y0"], 1), round(g["size"], 1))
-        if not g["invisible"] and not g["artifact"] and key not in seen:
+        if g["invisible"] or g["artifact"]:
+            continue
+        key = (g["text"], int(10 * g["x0"] + 0.5), int(10 * g["y0"] + 0.5), int(10 * g["size"] + 0.5))
+        if key not in seen:
             seen.add(key)
             out.append(g)
     return out
@@ -31,13 +33,18 @@ def visible(glyphs: list[dict[str, Any]]) -> list[dict[str, Any]]:
 def lines(glyphs: list[dict[str, Any]]) -> list[dict[str, Any]]:
     """Lines of a page by baseline, top to bottom: text, box, size, style shares and glyph numbers."""
     rows: list[list[dict[str, Any]]] = []
-    for g in sorted(visible(glyphs), key=lambda g: (round((g["y0"] + g["y1"]) / 2, 1), g["x0"])):
-        middle = (g["y0"] + g["y1"]) / 2
-        row = next((r for r in reversed(rows[-6:]) if r[0]["y0"] <= middle <= r[0]["y1"] and abs((r[0]["y0"] + r[0]["y1"]) / 2 - middle) <= 0.35 * max(r[0]["size"], g["size"])), None)
-        if row is None:
-            rows.append([g])
+    heads: list[tuple[float, float, float, float]] = []  # of each row's first glyph: top, bottom, middle, size
+    for g in sorted(visible(glyphs), key=lambda g: (int(5 * (g["y0"] + g["y1"]) + 0.5), g["x0"])):
+        top, bottom, size = g["y0"], g["y1"], g["size"]
+        middle = (top + bottom) / 2
+        for k in range(len(rows) - 1, max(-1, len(rows) - 7), -1):
+            head = heads[k]
+            if head[0] <= middle <= head[1] and abs(head[2] - middle) <= 0.35 * (head[3] if head[3] > size else size):
+                rows[k].append(g)
+                break
         else:
-            row.append(g)
+            rows.append([g])
+            heads.append((top, bottom, middle, size))
     out = []
     for row in _parted(rows):
         text = join(row)
