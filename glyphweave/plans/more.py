@@ -160,7 +160,7 @@ def vector_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.mapInArrow(run, "n_regionkey int, name string, alt string, svg_bytes long, bbox string")
 
 
-@query("D-36 S-20", "SELECT 'all' AS path, 'en' AS lang")
+@query("D-36 S-20", "SELECT DISTINCT cast(n_regionkey AS varchar) AS path, 'en' AS lang FROM nation")
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf._structured(spark, sf_dir, "metadata").select("path", F.get_json_object("attrs", "$.lang").alias("lang"))
 

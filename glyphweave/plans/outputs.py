@@ -291,3 +291,23 @@ def tagged_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["n_nationkey", "place", "kind", "text"])
 
     return _nations(spark, sf_dir).mapInArrow(run, "n_nationkey int, place int, kind string, text string")
+
+
+@query("S-02 S-04", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'first ' || n_name WHEN 1 THEN 'second ' || n_name ELSE 'third ' || n_name END AS text, 1 + n_nationkey % 3 AS revisions FROM nation")
+def xref_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were saved again with a new page text, once or twice: sections chained by /Prev, the newest entry of an object counts."""
+
+    def make(key: int, name: str) -> tuple:
+        content = lambda word: (lambda body: b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))(synthetic.text_op(72, 700, f"{word} {name}"))
+        data = synthetic.make_pdf([synthetic.text_op(72, 700, f"first {name}")])
+        at = 2 + len(synthetic.FACES) + 1
+        for word in ("second", "third")[: key % 3]:
+            before = int(data.rsplit(b"startxref", 1)[1].split()[0])
+            place = len(data)
+            data += b"%d 0 obj\n%s\nendobj\n" % (at, content(word))
+            table_at = len(data)
+            data += b"xref\n%d 1\n%010d 00000 n \ntrailer\n<< /Size %d /Root 1 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF\n" % (at, place, at + 2, before, table_at)
+        lines = [r["text"] for r in read(data, kinds=frozenset({"line", "error"}))]
+        return key, " ".join(lines), data.count(b"%%EOF")
+
+    return _each(_nations(spark, sf_dir), "n_nationkey int, text string, revisions int", make)

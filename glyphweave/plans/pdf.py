@@ -206,7 +206,8 @@ def _structured_pdf(nations: list[tuple[int, str, int]]) -> bytes:
 
 
 def _structured(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").groupBy(F.lit("all").alias("path")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("n"))
+    """Rows of one kind from a file for each region, of its nations."""
+    nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +217,7 @@ def _structured(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return parse_table(nations.mapInArrow(run, "path string, content binary"), kinds=frozenset({kind}))
 
 
-@query("S-22 J-05", "SELECT n_name AS title, cast(row_number() OVER (ORDER BY n_nationkey) AS INT) AS page, cast(701 - row_number() OVER (ORDER BY n_nationkey) AS DOUBLE) AS y FROM nation")
+@query("S-22 J-05", "SELECT n_name AS title, cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS page, cast(701 - row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS DOUBLE) AS y FROM nation")
 def pdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _structured(spark, sf_dir, "outline")
     return rows.select(F.col("text").alias("title"), "page", F.get_json_object("attrs", "$.y").cast("double").alias("y"))
@@ -233,18 +234,18 @@ def pdf_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "S-20 J-01 J-16",
-    "SELECT cast(row_number() OVER (ORDER BY n_nationkey) AS INT) AS page, CASE WHEN row_number() OVER (ORDER BY n_nationkey) % 2 = 1 THEN 'paragraph' ELSE 'heading' END AS kind, n_name AS text, cast(0.995 AS DOUBLE) AS confidence FROM nation",
+    "SELECT cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS page, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) % 2 = 1 THEN 'paragraph' ELSE 'heading' END AS kind, n_name AS text, cast(0.995 AS DOUBLE) AS confidence FROM nation",
 )
 def pdf_tagged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged leaves joined to their glyphs by page and marked content."""
-    tags = _structured(spark, sf_dir, "tag").select("page", F.from_json("attrs", "what string, confidence double, mcids array<struct<page: int, mcid: int>>").alias("t"))
-    keys = tags.select(F.col("t.what").alias("kind"), F.col("t.confidence").alias("confidence"), F.inline("t.mcids"))
-    glyphs = _structured(spark, sf_dir, "glyph").select("page", "seq", "text", F.get_json_object("attrs", "$.mcid").cast("int").alias("mcid"))
-    text = glyphs.groupBy("page", "mcid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda g: g["text"]), "").alias("text"))
-    return keys.join(text, ["page", "mcid"], "left").select("page", "kind", "text", "confidence")
+    tags = _structured(spark, sf_dir, "tag").select("path", F.from_json("attrs", "what string, confidence double, mcids array<struct<page: int, mcid: int>>").alias("t"))
+    keys = tags.select("path", F.col("t.what").alias("kind"), F.col("t.confidence").alias("confidence"), F.inline("t.mcids"))
+    glyphs = _structured(spark, sf_dir, "glyph").select("path", "page", "seq", "text", F.get_json_object("attrs", "$.mcid").cast("int").alias("mcid"))
+    text = glyphs.groupBy("path", "page", "mcid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda g: g["text"]), "").alias("text"))
+    return keys.join(text, ["path", "page", "mcid"], "left").select("page", "kind", "text", "confidence")
 
 
-@query("S-17 F-51", "SELECT cast(row_number() OVER (ORDER BY n_nationkey) AS INT) AS page, 'https://example.org/' || n_nationkey AS uri FROM nation")
+@query("S-17 F-51", "SELECT cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS page, 'https://example.org/' || n_nationkey AS uri FROM nation")
 def pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _structured(spark, sf_dir, "link").select("page", F.col("text").alias("uri"))
 

@@ -125,6 +125,17 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted({r.markdown for r in convert_files(spark, str(tmp_path / "in")).collect()})
 
 
+def test_streaming_of_every_path(spark, tmp_path):
+    from glyphweave.streaming import convert_stream
+
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.pdf").write_bytes(text_pdf("the same"))
+    got: list[str] = []
+    convert_stream(spark, str(tmp_path / "in"), lambda df, _: got.extend(r.path for r in df.collect()), str(tmp_path / "cp"), every_path=True).awaitTermination()
+    assert sorted(p.rsplit("/", 1)[1] for p in got) == ["a.pdf", "b.pdf"]
+
+
 def test_markdown_marks():
     assert markdown.escape("a*b_c _d_ [x]") == "a\\*b_c \\_d\\_ \\[x\\]" and markdown.wrap("**", " a ") == " **a** " and markdown.fence("x ```` y") == "`````"
 
