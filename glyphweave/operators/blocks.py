@@ -200,7 +200,7 @@ def merge_continued(nodes: list[Node], heights: dict[int, float]) -> list[Node]:
 def build(rows: list[dict[str, Any]]) -> list[Node]:
     """Nodes of a document's rows (kinds page, line, glyph, segment, image), in reading order."""
     from .borderless import borderless_tables
-    from .tagged import line_owner, owners, reconcile
+    from .tagged import line_owner, materialise, owners, reconcile
 
     pages = {r["page"]: r for r in rows if r["kind"] == "page"}
     heights = {p: r["y1"] for p, r in pages.items()}
@@ -226,7 +226,9 @@ def build(rows: list[dict[str, Any]]) -> list[Node]:
             n.page = page
             out.append(n)
     out = _continue_paragraphs(merge_continued(out, heights))
-    return reconcile(out, tags, lines) if tags else out
+    if not tags:
+        return out
+    return materialise(reconcile(out, tags, lines), [r for r in rows if r["kind"] == "tag"], lines, [r for r in rows if r["kind"] == "glyph"])
 
 
 #: A column holds lines of at most this share of the page, this many at least, and this many words in its middle one; a gutter is this wide.

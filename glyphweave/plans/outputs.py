@@ -311,3 +311,48 @@ def xref_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return key, " ".join(lines), data.count(b"%%EOF")
 
     return _each(_nations(spark, sf_dir), "n_nationkey int, text string, revisions int", make)
+
+
+def _tagged_pdf(lines: list[tuple[bytes, float, float]], elements: list[tuple[str, int | None, list[int]]]) -> bytes:
+    """A page of marked texts (number by place) and a structure tree: role, place of the parent among the elements (none: the root), and marks."""
+    base = 2 + len(synthetic.FACES) + 2
+    number = lambda k: base + 1 + k
+    root = number(len(elements))
+    ops = [b"/Span <</MCID %d>> BDC " % m + synthetic.text_op(x, y, text.decode(), size=10) + b" EMC" for m, (text, x, y) in enumerate(lines)]
+    bodies, owner = [], {}
+    for k, (role, parent, marks) in enumerate(elements):
+        kids = [b"%d 0 R" % number(j) for j, e in enumerate(elements) if e[1] == k] + [b"%d" % m for m in marks]
+        owner.update(dict.fromkeys(marks, k))
+        bodies.append(b"<< /S /%s /P %d 0 R /Pg %d 0 R /K [%s] >>" % (role.encode(), root if parent is None else number(parent), base, b" ".join(kids)))
+    tops = b" ".join(b"%d 0 R" % number(k) for k, e in enumerate(elements) if e[1] is None)
+    owned = b" ".join(b"%d 0 R" % number(owner[m]) for m in range(len(lines)))
+    bodies.append(b"<< /Type /StructTreeRoot /K [%s] /ParentTree << /Nums [0 [%s]] >> >>" % (tops, owned))
+    return synthetic.make_pdf([b"\n".join(ops)], extra=bodies, root=b"/MarkInfo << /Marked true >> /StructTreeRoot %d 0 R " % root, page_attrs=b"/StructParents 0 ")
+
+
+@query(
+    "D-41 J-18 A-16 D-32 D-10",
+    """WITH n AS (SELECT n_regionkey, string_agg('- item ' || n_name, chr(10) ORDER BY n_nationkey) AS items, string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS cells FROM nation GROUP BY n_regionkey)
+    SELECT n_regionkey, items || chr(10) || chr(10) || '| Name | Key |' || chr(10) || '| --- | --- |' || chr(10) || cells || chr(10) AS markdown FROM n""",
+)
+def tagged_lists_and_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without markers tagged as a list, and words set loosely tagged as a table with a header, put out as such."""
+    regions = fx.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+
+    def make(key: int, nations: list[dict]) -> tuple:
+        lines: list[tuple[bytes, float, float]] = []
+        elements: list[tuple[str, int | None, list[int]]] = [("L", None, [])]
+        for k, n in enumerate(nations):
+            elements += [("LI", 0, []), ("LBody", len(elements), [len(lines)])]
+            lines.append((f"item {n['n_name']}".encode(), 72, 560 - 14 * k))
+        table = len(elements)
+        elements.append(("Table", None, []))
+        for k, cells in enumerate([("Name", "Key"), *((n["n_name"], str(n["n_nationkey"])) for n in nations)]):
+            row = len(elements)
+            elements.append(("TR", table, []))
+            for c, text in enumerate(cells):
+                elements.append(("TH" if k == 0 else "TD", row, [len(lines)]))
+                lines.append((text.encode(), 72 + 110 * c + 7 * (k % 2), 400 - 30 * k))
+        return key, convert_bytes(_tagged_pdf(lines, elements), outputs=frozenset({"markdown"}))["markdown"]
+
+    return _each(regions, "n_regionkey int, markdown string", make)

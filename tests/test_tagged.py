@@ -48,3 +48,34 @@ def test_paragraphs_of_several_tags_are_parted():
     tags = [tag("heading", 1, role="H1"), tag("paragraph", 2)]
     assert kinds(reconcile([node("paragraph", 0, 1, 2)], tags, lines)) == [("heading", "Head"), ("paragraph", "first second")]
     assert kinds(reconcile([node("paragraph", 0, 1, 2, 3)], tags, lines)) == [("paragraph", "x")]
+
+
+def list_tags(*marks):
+    tags = [{"node": 0, "parent": None, "what": "list", "role": "L", "mcids": []}]
+    for k, m in enumerate(marks):
+        tags += [
+            {"node": 2 * k + 1, "parent": 0, "what": "item", "role": "LI", "mcids": []},
+            {"node": 2 * k + 2, "parent": 2 * k + 1, "what": "item_body", "role": "LBody", "mcids": [{"page": 1, "mcid": m}]},
+        ]
+    return tags
+
+
+def glyphs(*texts):
+    out = []
+    for m, text in enumerate(texts, 1):
+        out += [{"page": 1, "mcid": m, "text": c, "x0": 72.0 + 6 * k, "x1": 77.5 + 6 * k, "y0": 20.0 * m, "y1": 20.0 * m + 9, "size": 10.0, "invisible": False, "artifact": False} for k, c in enumerate(text)]
+    return out
+
+
+def test_tagged_lists_are_made_of_neighbours():
+    from glyphweave.operators.tagged import materialise
+
+    lines = [line(0, 1), line(1, 2), line(2, 3)]
+    (made, rest) = materialise([node("paragraph", 0), node("paragraph", 1), node("paragraph", 2)], list_tags(1, 2), lines, glyphs("one", "two", "three"))
+    assert (made.kind, [c.text for c in made.children], rest.kind) == ("list", ["one", "two"], "paragraph")
+    apart = [node("paragraph", 0), node("paragraph", 2), node("paragraph", 1)]
+    assert materialise(apart, list_tags(1, 2), lines, glyphs("one", "two", "three")) == apart
+    incomplete = [node("paragraph", 0), node("paragraph", 2)]
+    assert materialise(incomplete, list_tags(1, 2), lines, glyphs("one", "two", "three")) == incomplete
+    mixed = [node("paragraph", 0, 2), node("paragraph", 1)]
+    assert materialise(mixed, list_tags(1, 2), lines, glyphs("one", "two", "three")) == mixed
