@@ -135,6 +135,7 @@ def _digests(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PLACE.split(", ")]
+        table_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
         for batch in batches:
             rows: list[tuple] = []
             for t1, t2, text, found, copies in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -144,8 +145,11 @@ def _digests(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     piece, starts = data[r["s"] : r["e"] + size - 1], r["e"] - r["s"]
                     d = xxhash.xxh3_128_digest(piece, starts)
                     rows.append((r["key"], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), t1, t2, r["s"], starts, len(piece), copies, min(t1, other), max(t1, other)))
+                    if len(rows) >= 50_000:
+                        yield table_of(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                yield table_of(rows)
 
     return run
 
