@@ -356,3 +356,23 @@ def tagged_lists_and_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         return key, convert_bytes(_tagged_pdf(lines, elements), outputs=frozenset({"markdown"}))["markdown"]
 
     return _each(regions, "n_regionkey int, markdown string", make)
+
+
+@query(
+    "R-10 R-11 J-07 J-08",
+    """WITH n AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
+    SELECT n_regionkey, '<p>Seen in ' || string_agg('<a href="#reference-' || k || '">[' || k || ']</a>', ' and in ' ORDER BY k) || ' &amp; [99].</p>' AS html, count(*) AS targets FROM n GROUP BY n_regionkey""",
+)
+def html_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region's page as HTML: the paragraph whose citations are links, and how many of them have an entry to lead to."""
+    regions = fx.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+
+    def make(key: int, nations: list[dict]) -> tuple:
+        labels = [f"[{k}]" for k in range(1, len(nations) + 1)]
+        ops = [synthetic.text_op(72, 600, f"Seen in {' and in '.join(labels)} & [99].", size=10), synthetic.text_op(72, 560, "References", "F2", 16)]
+        ops += [synthetic.text_op(72, 530 - 22 * k, f"[{k + 1}] Smith, J. On {n['n_name']}. Some Press, {1990 + n['n_nationkey']}.", size=10) for k, n in enumerate(nations)]
+        page = convert_bytes(synthetic.make_pdf([b"\n".join(ops)]), outputs=frozenset({"html"}))["html"]
+        shown = next(x for x in page.split("\n") if x.startswith("<p>Seen"))
+        return key, shown, sum(f'id="reference-{k}"' in page and f'href="#reference-{k}"' in page for k in range(1, len(nations) + 1))
+
+    return _each(regions, "n_regionkey int, html string, targets long", make)

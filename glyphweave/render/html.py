@@ -6,6 +6,7 @@ from html import escape
 from html.parser import HTMLParser
 from typing import Any
 
+from ..functions.bidi import has_rtl, is_rtl
 from ..metrics.tables import node_text
 
 #: What a page made here needs, by directive: nothing but images beside it or within it. Everything else falls back to none.
@@ -13,14 +14,34 @@ NEEDS = {"default-src": "'none'", "img-src": "'self' data:", "form-action": "'no
 POLICY = "; ".join(f"{directive} {sources}" for directive, sources in NEEDS.items())
 
 
+def direction(text: str) -> str:
+    """The attribute of an element whose text is mostly from right to left."""
+    return ' dir="rtl"' if not text.isascii() and has_rtl(text) and is_rtl(text) else ""
+
+
+def linked(text: str, links: list[dict[str, str]]) -> str:
+    """Escaped text in which what points at something is a link to it: each written form once, the first that isn't in another."""
+    out, at = [], 0
+    places: list[tuple[int, int, str]] = []
+    for x in links:
+        lo = text.find(x["text"])
+        if lo >= 0 and all(lo >= b or lo + len(x["text"]) <= a for a, b, _ in places):
+            places.append((lo, lo + len(x["text"]), x["target"]))
+    for a, b, target in sorted(places):
+        out += [escape(text[at:a]), f'<a href="#{escape(target)}">{escape(text[a:b])}</a>']
+        at = b
+    return "".join([*out, escape(text[at:])])
+
+
 def block(node: dict[str, Any]) -> str:
-    kind, text, a = node["kind"], escape(node["text"]), node["attrs"]
+    kind, a = node["kind"], node["attrs"]
+    text, way = linked(node["text"], a.get("links") or []), direction(node["text"])
     if kind in ("artifact", "outline"):
         return ""
     if kind == "heading":
         level = max(1, min(6, a.get("level", 1)))
         anchor = f' id="{escape(a["anchor"])}"' if a.get("anchor") else ""
-        return f"<h{level}{anchor}>{text}</h{level}>"
+        return f"<h{level}{anchor}{way}>{text}</h{level}>"
     if kind == "list":
         tag = "ol" if a.get("ordered") else "ul"
         return f"<{tag}>{''.join(map(_item, node['children']))}</{tag}>"
@@ -39,12 +60,12 @@ def block(node: dict[str, Any]) -> str:
         return f"<nav><ol>{''.join(f'<li>{line(c)} {escape(c["attrs"]["page_label"])}</li>' for c in node['children'])}</ol></nav>"
     if kind in ("note", "reference"):
         return f'<p id="{escape(a.get("anchor") or "")}">{escape(a.get("label") or "")} {text}</p>'
-    return f"<p><strong>{text}</strong></p>" if a.get("strong") else f"<p>{text}</p>"
+    return f"<p{way}><strong>{text}</strong></p>" if a.get("strong") else f"<p{way}>{text}</p>"
 
 
 def _item(node: dict[str, Any]) -> str:
     box = {True: "☑ ", False: "☐ "}.get(node["attrs"].get("checked"), "")
-    return f"<li>{box}{escape(node['text'])}{''.join(map(block, node['children']))}</li>"
+    return f"<li{direction(node['text'])}>{box}{linked(node['text'], node['attrs'].get('links') or [])}{''.join(map(block, node['children']))}</li>"
 
 
 def table(node: dict[str, Any]) -> str:

@@ -234,3 +234,11 @@ def test_heading_similarity():
     assert metrics.heading_similarity(text, "# One\nwords here\n# Two\nmore words\n") == 1.0
     assert abs(metrics.heading_similarity(text, "# One\nwords here\n") - (1 - 2 / 5)) < 1e-12
     assert metrics.heading_similarity(text, text.replace("more", "other"), structure=True) == 1.0 > metrics.heading_similarity(text, text.replace("more", "other"))
+
+
+def test_html_links_and_direction():
+    links = [{"text": "[1]", "target": "reference-1"}, {"text": "Fig. 2", "target": "figure-2"}, {"text": "2", "target": "x"}, {"text": "none", "target": "y"}]
+    assert html.linked("a < [1] & Fig. 2", links) == 'a &lt; <a href="#reference-1">[1]</a> &amp; <a href="#figure-2">Fig. 2</a>'
+    assert html.linked("plain", []) == "plain"
+    assert html.block({"kind": "paragraph", "text": "שלום עולם", "attrs": {}, "children": []}) == '<p dir="rtl">שלום עולם</p>'
+    assert html.block({"kind": "heading", "text": "Hello", "attrs": {"level": 2}, "children": []}) == "<h2>Hello</h2>"
