@@ -3,7 +3,8 @@
 A payload is stored once under its verified SHA-256; the exact header of every record is kept in a
 table of its own; original records come back by joining the two. The digest is checked again when a
 payload is read. The payload table holds one row a digest, the header table one row a record, so a
-payload shared by a third of all records costs one copy.
+payload shared by a third of all records costs one copy. Payloads are packed with Zstandard, one by
+one, against a dictionary that is kept with the archive, before they move for the first time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from .common import salted_join, stage, table, text_of
 
 #: Payloads below this size are stored as responses, always.
 REVISIT_FROM = 100
+#: The dictionary: the beginnings of so many payloads, of so many bytes each. Any bytes would do, those of pages like the others pack best.
+DICTIONARY_PAGES, DICTIONARY_BYTES = 64, 4096
+LEVEL = 3
 CRLF = "\r\n"
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -30,17 +35,32 @@ _PAGE = re.compile(r"<urn:page:(-?\d+):")
 
 @dataclass
 class Archive:
-    """headers: page_id, seq, url, digest, group_size, header. payloads: digest, n_bytes, group_size, payload."""
+    """headers: page_id, seq, url, digest, group_size, header. payloads: digest, n_bytes, group_size, payload (packed against the dictionary)."""
 
     headers: DataFrame
     payloads: DataFrame
     rows: int
+    dictionary: bytes = b""
 
 
 def _field(name: str, value) -> F.Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
+def _raw(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+
+
+def _packer(dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_raw(dictionary), write_checksum=False, write_dict_id=False)
+        for batch in batches:
+            packed = [press.compress(memoryview(x.as_buffer())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["digest", "payload"])
+
+    return run
+
+
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> Archive:
     """Write the archive of a table of pages.
 
@@ -84,19 +104,27 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.lit(CRLF),
     )
     headers = stage(joined.select("page_id", "seq", "digest", "n_bytes", "group_size", F.encode(header, "UTF-8").alias("header")), "warc-headers")
+    sample = pages.select(F.substring(F.encode(html, "UTF-8"), 1, DICTIONARY_BYTES).alias("b")).limit(DICTIONARY_PAGES)
+    dictionary = b"".join(bytes(r.b) for r in sample.collect())
     # Copies are combined before the one exchange that payloads take; sizes then come to them by the same key.
-    payload = pages.select(F.sha2(html, 256).alias("digest"), F.encode(html, "UTF-8").alias("payload")).groupBy("digest").agg(F.first("payload").alias("payload"))
+    packed = pages.select(F.sha2(html, 256).alias("digest"), F.encode(html, "UTF-8").alias("payload")).mapInArrow(_packer(dictionary), "digest string, payload binary")
+    payload = packed.groupBy("digest").agg(F.first("payload").alias("payload"))
     payloads = stage(payload.join(firsts.select("digest", "n_bytes", "group_size").hint("shuffle_merge"), "digest").select("digest", "n_bytes", "group_size", "payload"), "warc-payloads")
-    return Archive(headers, payloads, rows)
+    return Archive(headers, payloads, rows, dictionary)
 
 
-def _reader(with_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reader(with_bytes: bool, dictionary: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Put each record together, read it as a WARC file of one record, and check what it says against the payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(dict_data=_raw(dictionary))
         for batch in batches:
             out: list[tuple] = []
-            for address, n_bytes, header, payload in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            for address, n_bytes, header, packed in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                try:
+                    payload = unpack.decompress(packed)
+                except zstandard.ZstdError as e:
+                    raise ValueError("a stored payload can't be unpacked, so it doesn't match its digest") from e
                 responds = b"\r\nWARC-Type: response\r\n" in header
                 warc = header + (payload if responds else b"") + END
                 ((fields, body),) = parse_warc(warc)
@@ -123,7 +151,7 @@ def read_archive(archive: Archive, with_bytes: bool = True) -> DataFrame:
     """
     joined = salted_join(archive.headers.drop("group_size"), archive.payloads.drop("n_bytes"), ["digest"], "group_size", archive.rows, F.col("seq"))
     schema = "page_id long, seq long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return joined.select("page_id", "seq", "digest", "n_bytes", "header", "payload").mapInArrow(_reader(with_bytes), schema + (", payload binary, warc binary" if with_bytes else ""))
+    return joined.select("page_id", "seq", "digest", "n_bytes", "header", "payload").mapInArrow(_reader(with_bytes, archive.dictionary), schema + (", payload binary, warc binary" if with_bytes else ""))
 
 
 def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:

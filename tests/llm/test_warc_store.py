@@ -63,3 +63,12 @@ def test_very_long_payloads_and_many_rows_without_ids(spark):
     back = read_archive(archive, with_bytes=False).collect()
     assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in back if r.page_id) == [(1, 3_600_000, "response", None), (2, 3_600_000, "revisit", 1)]
     assert [r.record_type for r in back if not r.page_id].count("response") == 1
+
+
+def test_payloads_are_packed_before_they_are_moved_and_stored(spark):
+    words = [hashlib.sha256(str(k).encode()).hexdigest()[:7] for k in range(400)]
+    html = {i: "<!DOCTYPE html><html><head><title>a page</title><style>p{margin:0}</style></head><body><nav><ul><li>menu</li></ul></nav><p>" + " ".join(words[(i * j) % 400] for j in range(60)) + "</p></body></html>" for i in range(300)}
+    archive = write_archive(pages(spark, [(i, "u", h) for i, h in html.items()]))
+    stored = archive.payloads.agg(F.sum(F.octet_length("payload"))).first()[0]
+    assert 0 < stored < 0.6 * sum(map(len, html.values()))
+    assert {r.page_id: bytes(r.payload).decode() for r in read_archive(archive).collect()} == html
