@@ -43,6 +43,13 @@ def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -
         if kind in kinds:
             out.extend({"kind": kind, **r} for r in rows)
 
+    def own(kind: str, rows: list[dict[str, Any]]) -> None:
+        """Rows that nobody else holds take their kind as they are."""
+        if kind in kinds:
+            for r in rows:
+                r["kind"] = kind
+            out.extend(rows)
+
     try:
         doc = Document(data)
         put("metadata", [metadata(doc)])
@@ -51,9 +58,9 @@ def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -
             rows = reader.run()
             put("page", [{"page": page.number, "seq": 0, "x0": 0.0, "y0": 0.0, "x1": reader.width, "y1": reader.height}])
             if "line" in kinds:
-                put("line", lines(rows.glyphs))
+                own("line", lines(rows.glyphs))
             for kind in _PAINTED:
-                put(kind[:-1], getattr(rows, kind))
+                own(kind[:-1], getattr(rows, kind))
         for kind, found in (("tag", tagged_nodes), ("field", form_fields), ("outline", outline), ("link", links)):
             if kind in kinds:
                 named = "title" if kind in ("tag", "outline") else "name" if kind == "field" else "uri"
