@@ -33,3 +33,14 @@ def test_a_conversion_grows_with_its_pages_not_with_their_square():
 
     took(50)
     assert took(1600) < 9 * took(400)
+
+
+def test_failures_are_told_without_outputs_that_nobody_reads(spark, tmp_path, monkeypatch):
+    from glyphweave.plans import more, queries
+
+    asked = []
+    convert = more.convert
+    monkeypatch.setattr(more, "convert", lambda files, **how: asked.append(how.get("outputs")) or convert(files, **how))
+    spark.createDataFrame([(3, "one line"), (4, "# two\n\nlines"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["prediction_failures"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.failed for r in found} == {3: True, 4: False, 5: False} and asked == [frozenset()]
