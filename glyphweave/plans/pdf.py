@@ -57,7 +57,7 @@ def pdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("S-01 S-06 S-14 P-11", None)
 def pdf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of rows of each document's PDF, its first two pages and those from the ninth."""
-    rows = parse_table(_pdfs(table(spark, sf_dir, "documents").select("doc_id", "text")), pages="1-2,9-")
+    rows = parse_table(_pdfs(table(spark, sf_dir, "documents").select("doc_id", "text")), pages="1-2,9-", columns=("path", "page", "kind", "x0", "x1"))
     return rows.groupBy("path", "page", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 

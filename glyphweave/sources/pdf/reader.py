@@ -73,9 +73,13 @@ def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -
 
 def parse(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -> list[dict[str, Any]]:
     """The rows of `read` in the columns of ROW: what has no column of its own is JSON in attrs."""
+    return _told(read(data, pages, kinds))
+
+
+def _told(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
     own = {"kind", "page", "seq", "text", *_BOX}
     out = []
-    for r in read(data, pages, kinds):
+    for r in rows:
         rest = {k: v for k, v in r.items() if k not in own}
         box = {k: None if r.get(k) is None else float(r[k]) for k in _BOX}
         out.append({"kind": r["kind"], "page": r.get("page"), "seq": r.get("seq"), **box, "text": r.get("text"), "attrs": json.dumps(rest, sort_keys=True, default=str)})
@@ -87,15 +91,43 @@ def _batch(rows: list[dict[str, Any]], path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path if n == "path" else r.get(n) for r in rows], kinds.get(n, pa.string())) for n in _NAMES], _NAMES)
 
 
-def parse_table(files: DataFrame, path_col: str = "path", content_col: str = "content", pages: str | None = None, kinds: frozenset[str] = KINDS) -> DataFrame:
-    """Rows of the files of a table with a path and a binary column; only those of the kinds that are asked for are made."""
+#: Rows that go to Spark together, at least, where a task has so many.
+BATCH_ROWS = 20_000
+_KINDS = {"page": pa.int32(), "seq": pa.int32(), **dict.fromkeys(_BOX, pa.float64())}
+
+
+def _columns(rows: list[dict[str, Any]], path: str, names: list[str]) -> list[pa.Array]:
+    """The columns of ROW that are named, of the rows of `read`."""
+    if "attrs" in names:
+        made = _batch(_told(rows), path)
+        return [made.column(n) for n in names]
+    return [pa.repeat(pa.scalar(path, pa.string()), len(rows)) if n == "path" else pa.array([r.get(n) for r in rows], _KINDS.get(n, pa.string())) for n in names]
+
+
+def parse_table(files: DataFrame, path_col: str = "path", content_col: str = "content", pages: str | None = None, kinds: frozenset[str] = KINDS, columns: Iterable[str] | None = None) -> DataFrame:
+    """Rows of the files of a table with a path and a binary column; only those of the kinds that are asked for are made, and of those the named columns of ROW (all, if none are named)."""
+    wanted = set(_NAMES if columns is None else columns)
+    if unknown := wanted - set(_NAMES):
+        raise ValueError(f"no columns: {', '.join(sorted(unknown))}")
+    names = [n for n in _NAMES if n in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = []
+        size = 0
+        joined = lambda: pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _batch(parse(content or b"", pages, kinds), path)
-
-    return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(run, ROW)
+                rows = read(content or b"", pages, kinds)
+                held.append(_columns(rows, path, names))
+                size += len(rows)
+                if size >= BATCH_ROWS:
+                    yield joined()
+                    held, size = [], 0
+        if held:
+            yield joined()
+
+    schema = ", ".join(c for c in ROW.split(", ") if c.split()[0] in wanted)
+    return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(run, schema)
 
 
 def read_pdfs(spark: SparkSession, path: str, pages: str | None = None) -> DataFrame:

@@ -44,3 +44,15 @@ def test_failures_are_told_without_outputs_that_nobody_reads(spark, tmp_path, mo
     spark.createDataFrame([(3, "one line"), (4, "# two\n\nlines"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = queries()["prediction_failures"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.failed for r in found} == {3: True, 4: False, 5: False} and asked == [frozenset()]
+
+
+def test_only_the_columns_that_are_asked_for_are_made(spark):
+    from glyphweave.sources.pdf.reader import parse_table
+
+    made = [synthetic.make_pdf([synthetic.text_op(72, 700, f"a line {k}"), synthetic.rule_op(10, 20, 30, 20)]) for k in range(3)] + [b"no file"]
+    files = spark.createDataFrame([(str(k), x) for k, x in enumerate(made)], "path string, content binary").coalesce(1)
+    names = ["path", "kind", "page", "x0", "x1"]
+    few = parse_table(files, columns=reversed(names))
+    assert few.columns == names
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, few.collect())) == sorted(map(key, parse_table(files).select(*names).collect()))
