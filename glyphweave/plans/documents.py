@@ -133,7 +133,10 @@ def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(metrics.teds(_tree(r), _tree(r)), metrics.score(_tree(r), _tree(r, True))) for r in b.column(1).to_pylist()]
+            out = []
+            for r in b.column(1).to_pylist():
+                tree = _tree(r)
+                out.append((metrics.teds(tree, _tree(r)), metrics.score(tree, _tree(r, True))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _ in out]), pa.array([m["teds"] for _, m in out]), pa.array([m["cell_exact"] for _, m in out]), pa.array([m["span_exact"] for _, m in out])],
                 ["table_id", "self_teds", "teds", "cell_exact", "span_exact"],

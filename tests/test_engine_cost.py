@@ -56,3 +56,36 @@ def test_only_the_columns_that_are_asked_for_are_made(spark):
     assert few.columns == names
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, few.collect())) == sorted(map(key, parse_table(files).select(*names).collect()))
+
+
+def test_a_row_less_and_a_wider_cell_take_few_calls():
+    from glyphweave.metrics import tables
+
+    def tree(rows: int, wide: int) -> dict:
+        cell = lambda r, c: {"kind": "table_cell", "text": f"{r * c}", "attrs": {"colspan": wide if (r, c) == (1, 2) else 1}, "children": []}
+        return {"kind": "table", "children": [{"kind": "table_row", "children": [cell(r, c) for c in range(3)]} for r in range(rows)]}
+
+    a, b = tree(12, 1), tree(11, 2)
+    assert round(tables.teds(a, b), 9) == round(1 - (4 + 1 / 7) / 49, 9)
+    assert calls(lambda: tables.teds(a, b)) < 5000
+    assert tables.teds({"kind": "table", "children": [{"kind": "table_row", "children": [{"kind": "table_cell", "attrs": {"rowspan": 2.0}}]}]}, {"kind": "table", "children": [{"kind": "table_row", "children": [{"kind": "table_cell", "attrs": {"rowspan": 2}}]}]}) < 1
+
+
+def test_bounds_of_the_tree_distance_hold_it_and_it_is_unchanged():
+    from glyphweave.metrics import tables
+
+    r = random.Random(11)
+
+    def tree(depth: int = 0) -> tuple[str, list]:
+        return r.choice(["td:r1:c1:a", "td:r1:c2:a", "td:r1:c1:abc", "tr", "table"]), [tree(depth + 1) for _ in range(r.randint(0, 4 if depth < 2 else 0))]
+
+    def changed(t: tuple[str, list]) -> tuple[str, list]:
+        kids = [changed(k) for k in t[1]][r.random() < 0.1 :]
+        return (r.choice(["tr", "td:r2:c1:a"]) if r.random() < 0.1 else t[0]), kids[: len(kids) - (r.random() < 0.1)]
+
+    for k in range(400):
+        t = tree()
+        a, b = tables.flatten(t), tables.flatten(changed(t) if k % 2 else tree())
+        whole = tables._weighed(a, b)
+        assert tables.least_cost(a, b) <= whole + 1e-9 and min(tables.beside(a, b, 1), tables.beside(a, b, -1)) >= whole - 1e-9
+        assert abs(tables.tree_distance(a, b) - whole) < 1e-9
