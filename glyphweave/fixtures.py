@@ -112,10 +112,14 @@ node_tree AS (
 """
 
 
-def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_rows(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """`parts`: so many tasks, of whole orders, dealt out before anything else; then nothing has to be dealt again."""
     from pyspark.sql import Window
 
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id"), "l_linenumber").agg(
+    lines = table(spark, sf_dir, "lineitem")
+    if parts:
+        lines = lines.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").repartition(parts, "l_orderkey")
+    li = lines.groupBy(F.col("l_orderkey").alias("table_id"), "l_linenumber").agg(
         F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.min("l_quantity").alias("qty")
     )
     w = Window.partitionBy("table_id").orderBy("l_linenumber")

@@ -73,16 +73,22 @@ def render_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(fx.doc_lines(spark, sf_dir))
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each order's table, dealt over tasks of bounded size, and over all cores at least, before what Python makes of them."""
+    size = 16 * fx.table(spark, sf_dir, "lineitem").count()
+    rows = fx.table_rows(spark, sf_dir, max(4 * spark.sparkContext.defaultParallelism, size // pdf.TASK_BYTES + 1))
+    return rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "flag", "status", "qty"))).alias("rows"))
+
+
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PDF for each order: a heading, a paragraph, a list, and its lines as a ruled table with a bold header."""
-    rows = fx.table_rows(spark, sf_dir).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "flag", "status", "qty"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [order_sheet(k, [(r["flag"], r["status"], r["qty"]) for r in rows]) for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
-    return pdf._spread(rows, 16 * F.size("rows")).mapInArrow(run, "path string, content binary")
+    return _orders(spark, sf_dir).mapInArrow(run, "path string, content binary")
 
 
 def order_sheet(key: int, rows: list[tuple[str, str, str]]) -> bytes:
@@ -129,7 +135,6 @@ def _tree(rows: list[dict], changed: bool = False) -> dict:
 )
 def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree similarity, cells and spans of each order's table against itself and against a changed one."""
-    rows = fx.table_rows(spark, sf_dir).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "flag", "status", "qty"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +147,7 @@ def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["table_id", "self_teds", "teds", "cell_exact", "span_exact"],
             )
 
-    return rows.mapInArrow(run, "table_id long, self_teds double, teds double, cell_exact double, span_exact double").withColumn("teds", F.round("teds", 9))
+    return _orders(spark, sf_dir).mapInArrow(run, "table_id long, self_teds double, teds double, cell_exact double, span_exact double").withColumn("teds", F.round("teds", 9))
 
 
 def _customers_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,20 @@ def test_bounds_of_the_tree_distance_hold_it_and_it_is_unchanged():
         whole = tables._weighed(a, b)
         assert tables.least_cost(a, b) <= whole + 1e-9 and min(tables.beside(a, b, 1), tables.beside(a, b, -1)) >= whole - 1e-9
         assert abs(tables.tree_distance(a, b) - whole) < 1e-9
+
+
+def test_a_sheet_takes_few_calls():
+    from glyphweave.plans.documents import order_sheet
+
+    data = order_sheet(7, [("A", "F", str(k)) for k in range(7)])
+    made = lambda: convert_bytes(data, outputs=frozenset({"markdown"}))
+    assert made()["markdown"].endswith("| A | F | 6 |\n")
+    assert calls(made) < 12_000
+
+
+def test_words_that_look_alike_are_told_apart_in_a_content_stream():
+    from glyphweave.sources.pdf.content import tokens
+
+    found = list(tokens(b"true null 1 .5 /N#41 (a\\)b) [1 (x)] <41> << /K 2 >> BDC % c\nq ] 3 Q BI /W 1 /H 1 /CS /G ID \x00 EI 7 w"))
+    assert found[:3] == [("BDC", [True, None, 1, 0.5, "NA", b"a)b", [1, b"x"], b"A", {"K": 2}]), ("q", []), ("Q", [3])]
+    assert found[3][0] == "INLINE" and found[4] == ("w", [7])
