@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Rows of a batch that a Python worker takes in hand at once.
+FEW = 256
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = FEW) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what Python makes of a batch is small, however many rows Spark sends together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
     """Join many rows to one or a few rows a key, where `one` carries in `size` how many rows of `many` have the key.
 

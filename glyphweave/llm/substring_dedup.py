@@ -26,17 +26,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, stage, table, text_of
+from .common import few, salted_join, stage, table, text_of
 from .suffix import common_prefixes, found_in, suffix_array, words8
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SIZE = 400
 #: Shorter strings, of which runs of more than WORDS words are told as passages. 51 words of prose take more bytes.
 PASSAGE = 256
@@ -47,7 +50,7 @@ KEY_REGIONS = 500
 #: Sub-shards of a key that are merged pair by pair; those of a larger key exchange the digests of their classes.
 PAIRED = 4
 #: Bytes of a text that are hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -116,7 +119,7 @@ def _bytes(text: str | None) -> bytes:
 
 def _key_windows(size: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             made = [regions(np.frombuffer(_bytes(t), dtype=np.uint8), size, gram) for t in batch.column(2).to_pylist()]
             count = [len(x[0]) for x in made]
@@ -136,7 +139,7 @@ def _digests(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PLACE.split(", ")]
         table_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-        for batch in batches:
+        for batch in few(batches):
             rows: list[tuple] = []
             for t1, t2, text, found, copies in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 data = _bytes(text)
@@ -145,7 +148,7 @@ def _digests(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     piece, starts = data[r["s"] : r["e"] + size - 1], r["e"] - r["s"]
                     d = xxhash.xxh3_128_digest(piece, starts)
                     rows.append((r["key"], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), t1, t2, r["s"], starts, len(piece), copies, min(t1, other), max(t1, other)))
-                    if len(rows) >= 50_000:
+                    if len(rows) >= 8_000:
                         yield table_of(rows)
                         rows = []
             if rows:
@@ -168,7 +171,7 @@ def _cut(size: int, paired: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         weight = 0
-        for batch in batches:
+        for batch in few(batches):
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = _bytes(text)
                 for r in wanted:
@@ -337,7 +340,7 @@ def _sort_shards(size: int, passage: int, shard_bytes: int, paired: int) -> Call
                     yield table_of(solve(small))
                     small, small_bytes = [], 0
 
-        for batch in batches:
+        for batch in few(batches):
             for r in batch.to_pylist():
                 if group and (r["key"], r["i"], r["j"]) != (group[0]["key"], group[0]["i"], group[0]["j"]):
                     yield from done()
@@ -374,7 +377,7 @@ def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     at: tuple | None = None
     runs: list[bytes] = []
-    for batch in batches:
+    for batch in few(batches):
         for key, across, part, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at is not None and at != (key, across, part):
                 yield from merged(at[0], at[1], runs)
@@ -391,7 +394,7 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 def _remove(size: int, passage: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in few(batches):
             out = []
             for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = _bytes(text)
@@ -494,6 +497,8 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(rows: list[tuple], size: int = SIZE) -> pd.DataFrame:
     """The same by counting every window: for tests."""
+    import pandas as pd
+
     count: dict[bytes, int] = {}
     texts = [(i, _bytes(t)) for i, t in rows]
     for _, data in texts:

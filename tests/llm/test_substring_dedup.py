@@ -113,3 +113,13 @@ def test_chunks_of_a_long_text(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_worker_takes_few_rows_in_hand_and_no_large_tables():
+    import pyarrow as pa
+
+    texts = [f"{k:04d} " * 100 for k in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(range(600), pa.int64()), pa.array(texts)], ["t1", "t2", "text"])
+    made = list(sd._key_windows(sd.PASSAGE, sd.GRAM)(iter([batch])))
+    assert [len(set(b.column("t1").to_pylist())) for b in made] == [256, 256, 88]
+    assert sd._UP.nbytes + sd._DOWN.nbytes < 5 << 20
