@@ -58,7 +58,7 @@ def hash_slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed:
     return out
 
 
-def fingerprints(texts: list[str | None], words_per_batch: int = 400_000) -> np.ndarray:
+def fingerprints(texts: list[str | None], words_per_batch: int = 100_000) -> np.ndarray:
     """One uint64 per text; null counts as empty, a text without words gives zero."""
     out = np.zeros(len(texts), dtype=np.uint64)
     pending: list[tuple[int, bytes, int]] = []
@@ -97,7 +97,7 @@ def _flush(pending: list[tuple[int, bytes, int]], out: np.ndarray) -> None:
 def _bit_counts(h: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How many hashes of each run have each of the 64 bits (bit 0 first)."""
     out = np.zeros((len(at), 64), dtype=np.int64)
-    step = 1 << 16
+    step = 1 << 14
     raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     ends = at + sizes
     for lo in range(0, len(h), step):

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few, table
 
 SAMPLE_ROWS = 600
 SPAN = 1000
@@ -107,7 +107,7 @@ class Classifier:
 def _classify(content: dict[str, bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(content)
-        for batch in batches:
+        for batch in few(batches):
             found = [judge(t) for t in batch.column(2).to_pylist()]
             lang, score, accepted = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
 def _keep_told(content: dict[str, bytes], at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(content)
-        for batch in batches:
+        for batch in few(batches):
             yield batch.filter(pa.array([judge(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return run

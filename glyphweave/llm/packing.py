@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import few, stage, table
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -138,7 +138,7 @@ def _fill(capacity: int, slack: int, vocabulary: str) -> Callable[[Iterator[pa.R
         next_id = worker << 28
         open_bins: dict[int, list[tuple]] = {}
 
-        for batch in batches:
+        for batch in few(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), 0], dtype="<u4")

@@ -152,3 +152,16 @@ def test_two_pipelines_side_by_side(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in corpus()], SCHEMA)
     one, two = (cp.exact(spark, docs, f"{tmp_path}/{k}") for k in (1, 2))
     assert one.count() == two.count() > 0
+
+
+def test_workers_take_few_rows_in_hand():
+    import pyarrow as pa
+
+    from glyphweave.llm import common, language
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([f"text {k}" for k in range(600)])], ["doc_id", "text"])
+    assert [b.num_rows for b in common.few(iter([batch, batch.slice(0, 3)]))] == [256, 256, 88, 3]
+    content = {"a": b"text one two three " * 20, "b": b"ganz andere worte " * 20}
+    made = list(language._classify(content)(iter([pa.RecordBatch.from_arrays([batch.column(0), pa.array([True] * 600), batch.column(1)], ["doc_id", "held_out", "text"])])))
+    assert [b.num_rows for b in made] == [256, 256, 88]
+    assert pa.Table.from_batches(made)["doc_id"].to_pylist() == list(range(600))
