@@ -112,18 +112,21 @@ node_tree AS (
 """
 
 
-def table_rows(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
-    """`parts`: so many tasks, of whole orders, dealt out before anything else; then nothing has to be dealt again."""
-    from pyspark.sql import Window
-
+def order_lines(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Lines of orders, those of one number collapsed. `parts`: so many tasks, of whole orders, dealt out before anything else; then nothing has to be dealt again."""
     lines = table(spark, sf_dir, "lineitem")
     if parts:
         lines = lines.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").repartition(parts, "l_orderkey")
-    li = lines.groupBy(F.col("l_orderkey").alias("table_id"), "l_linenumber").agg(
+    return lines.groupBy(F.col("l_orderkey").alias("table_id"), "l_linenumber").agg(
         F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"), F.min("l_quantity").alias("qty")
     )
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
     w = Window.partitionBy("table_id").orderBy("l_linenumber")
-    return li.select("table_id", (F.row_number().over(w) - 1).cast("long").alias("row_idx"), "flag", "status", F.col("qty").cast("long").cast("string").alias("qty"))
+    return order_lines(spark, sf_dir).select("table_id", (F.row_number().over(w) - 1).cast("long").alias("row_idx"), "flag", "status", F.col("qty").cast("long").cast("string").alias("qty"))
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,19 +76,18 @@ def render_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each order's table, dealt over tasks of bounded size, and over all cores at least, before what Python makes of them."""
     size = 16 * fx.table(spark, sf_dir, "lineitem").count()
-    rows = fx.table_rows(spark, sf_dir, max(4 * spark.sparkContext.defaultParallelism, size // pdf.TASK_BYTES + 1))
-    return rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "flag", "status", "qty"))).alias("rows"))
+    lines = fx.order_lines(spark, sf_dir, max(4 * spark.sparkContext.defaultParallelism, size // pdf.TASK_BYTES + 1))
+    row = F.struct("l_linenumber", "flag", "status", F.col("qty").cast("long").cast("string").alias("qty"))
+    return lines.groupBy("table_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A PDF for each order: a heading, a paragraph, a list, and its lines as a ruled table with a bold header."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [order_sheet(k, [(r["flag"], r["status"], r["qty"]) for r in rows]) for k, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
-
-    return _orders(spark, sf_dir).mapInArrow(run, "path string, content binary")
+def _rows_of(lists: pa.ListArray) -> Iterator[list[tuple[str, str, str]]]:
+    """Flag, status and quantity of each order's rows."""
+    offsets = lists.offsets.to_pylist()
+    _, *columns = (c.to_pylist() for c in lists.flatten().flatten())
+    rows = list(zip(*columns, strict=True))
+    for start, end in zip(offsets, offsets[1:], strict=False):
+        yield rows[start - offsets[0] : end - offsets[0]]
 
 
 def order_sheet(key: int, rows: list[tuple[str, str, str]]) -> bytes:
@@ -108,8 +107,15 @@ def order_sheet(key: int, rows: list[tuple[str, str, str]]) -> bytes:
     SELECT table_id, '# Order ' || table_id || repeat(chr(10), 2) || 'The lines of this order are listed in the table below it.' || repeat(chr(10), 2) || '- first point' || chr(10) || '- second point' || repeat(chr(10), 2) || '| Flag | Status | Qty |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) || chr(10) AS markdown FROM r GROUP BY table_id""",
 )
 def converted_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders set as PDFs and converted back."""
-    return convert(_sheets(spark, sf_dir), outputs=frozenset({"markdown"})).select(F.col("path").cast("long").alias("table_id"), "markdown")
+    """Orders set as PDFs (a heading, a paragraph, a list, and their lines as a ruled table with a bold header) and converted back, where they are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outputs = frozenset({"markdown"})
+        for b in batches:
+            made = [convert_bytes(order_sheet(k, rows), outputs=outputs, every=False)["markdown"] for k, rows in zip(b.column(0).to_pylist(), _rows_of(b.column(1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["table_id", "markdown"])
+
+    return _orders(spark, sf_dir).mapInArrow(run, "table_id long, markdown string")
 
 
 @query("D-30 P-05 P-07 F-65 S-42", None)

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .content import Interpreter
 from .document import Document, parse_pages
-from .lines import lines
+from .lines import lines, lines_of_runs
 from .objects import PdfError
 from .structure import form_fields, links, metadata, outline, tagged_nodes
 
@@ -29,6 +29,9 @@ _BOX = ("x0", "y0", "x1", "y1")
 _PAINTED = ("glyphs", "segments", "fills", "paths", "images")
 KINDS = frozenset({"page", "line", *(k[:-1] for k in _PAINTED), "tag", "field", "outline", "link", "metadata", "warning", "error"})
 
+#: Asked for beside glyphs: a row for each run of them, its number that of its first glyph, on pages that have nothing but runs that go by themselves.
+RUN = "run"
+
 
 def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -> list[dict[str, Any]]:
     """Rows of one file, told apart by kind, with all that is known of each.
@@ -57,10 +60,17 @@ def read(data: bytes, pages: str | None = None, kinds: frozenset[str] = KINDS) -
             reader = Interpreter(doc, page)
             rows = reader.run()
             put("page", [{"page": page.number, "seq": 0, "x0": 0.0, "y0": 0.0, "x1": reader.width, "y1": reader.height}])
+            made = lines_of_runs(page.number, rows.runs) if rows.plain() and "line" in kinds else None
+            runs = list(rows.runs) if made is not None and RUN in kinds else None
             if "line" in kinds:
-                own("line", lines(rows.glyphs))
+                own("line", lines(rows.glyphs) if made is None else made)
             for kind in _PAINTED:
-                own(kind[:-1], getattr(rows, kind))
+                if kind[:-1] not in kinds:
+                    continue
+                if kind == "glyphs" and runs is not None:
+                    out.extend([{"kind": RUN, "page": page.number, "seq": seq, "run": run} for seq, run in runs])
+                else:
+                    own(kind[:-1], getattr(rows, kind))
         for kind, found in (("tag", tagged_nodes), ("field", form_fields), ("outline", outline), ("link", links)):
             if kind in kinds:
                 named = "title" if kind in ("tag", "outline") else "name" if kind == "field" else "uri"
